@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdex.common import read_table
+from sparkdex.llm.clusters import describe_clusters, pivot_clusters, usable_vector
 from sparkdex.llm.distinctive import distinctive_terms
 from sparkdex.llm.ngrams import count_ngrams, mark_terms, text_suffixes
 from sparkdex.llm.similar import similar_objects
@@ -135,3 +136,48 @@ SQL["p1_found"] = """
              from u a join u b on a.modality = b.modality and a.obj_id <> b.obj_id),
     ranked as (select *, row_number() over (partition by a order by c desc, b) as k from pair where c >= 0.93)
     select distinct least(a, b) as obj_a, greatest(a, b) as obj_b from ranked where k <= 5"""
+
+
+# --- 3: similarity clusters -------------------------------------------------------
+
+#: Modality: numbers of a descriptor, and the distance within which two belong together.
+DESCRIPTORS = {"image": (128, 130.0), "audio": (13, 12.0)}
+
+
+def descriptor_rows(spark: SparkSession, sf_dir: str, modality: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "media_descriptors").where(F.col("modality") == modality)
+    return d.where(usable_vector(F.col("descriptor"), F.lit(DESCRIPTORS[modality][0]))).select(F.col("desc_id").alias("id"), F.col("descriptor").alias("vec"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of groups of five or more descriptors connected within the modality's distance."""
+    parts = []
+    for modality, (dim, radius) in DESCRIPTORS.items():
+        assigned, _ = pivot_clusters(descriptor_rows(spark, sf_dir, modality), radius, dim)
+        big = assigned.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+        parts.append(assigned.join(big, "group").select(F.col("id").alias("desc_id"), F.col("group").alias("cluster_id")))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def p3_cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, medoid and three most typical descriptors of every cluster of two or more."""
+    parts = []
+    for modality, (dim, radius) in DESCRIPTORS.items():
+        rows = descriptor_rows(spark, sf_dir, modality)
+        assigned, _ = pivot_clusters(rows, radius, dim, merge=False)
+        report = describe_clusters(assigned, rows, least=2)
+        parts.append(report.select(F.lit(modality).alias("modality"), "cluster", "size", "medoid", F.array_join("typical_ids", ",").alias("typical_ids")))
+    return parts[0].unionByName(parts[1])
+
+
+SQL["p3_found"] = """
+    with recursive u as (select desc_id, modality, descriptor from media_descriptors
+        where descriptor is not null and len(descriptor) = case modality when 'image' then 128 else 13 end
+          and len(list_filter(descriptor, lambda v: v is null or isnan(v))) = 0),
+    edge as (select a.desc_id as a, b.desc_id as b from u a join u b on a.modality = b.modality and a.desc_id <> b.desc_id
+             where list_distance(a.descriptor::double[], b.descriptor::double[]) <= case a.modality when 'image' then 130 else 12 end),
+    reach(a, b) as (select desc_id, desc_id from u union select r.a, e.b from reach r join edge e on r.b = e.a),
+    root as (select a as desc_id, min(b) as cluster_id from reach group by a)
+    select desc_id, cluster_id from root where cluster_id in (select cluster_id from root group by 1 having count(*) >= 5)"""
