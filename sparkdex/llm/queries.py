@@ -9,6 +9,7 @@ from sparkdex.common import read_table
 from sparkdex.llm.clusters import describe_clusters, pivot_clusters, usable_vector
 from sparkdex.llm.distinctive import distinctive_terms
 from sparkdex.llm.ngrams import count_ngrams, mark_terms, text_suffixes
+from sparkdex.llm.packing import pack_texts
 from sparkdex.llm.similar import similar_objects
 from sparkdex.llm.terms import term_records, text_content
 
@@ -181,3 +182,25 @@ SQL["p3_found"] = """
     reach(a, b) as (select desc_id, desc_id from u union select r.a, e.b from reach r join edge e on r.b = e.a),
     root as (select a as desc_id, min(b) as cluster_id from reach group by a)
     select desc_id, cluster_id from root where cluster_id in (select cluster_id from root group by 1 having count(*) >= 5)"""
+
+
+# --- 8: filling containers ---------------------------------------------------------
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers = [(r["container_id"], r["capacity_tokens"]) for r in read_table(spark, sf_dir, "containers").select("container_id", "capacity_tokens").collect()]  # a fixed list of kinds
+    return pack_texts(read_table(spark, sf_dir, "documents"), "doc_id", "text", containers)
+
+
+@query
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every text or piece, for each capacity of `containers`."""
+    return packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used per capacity, tokens packed, and the share of room filled."""
+    bins = packed(spark, sf_dir).groupBy("container_id").agg((F.max("bin") + 1).alias("bins"), F.sum("n_tokens").alias("tokens"))
+    kinds = read_table(spark, sf_dir, "containers").select("container_id", "capacity_tokens")
+    return bins.join(kinds, "container_id").withColumn("fill", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6))
