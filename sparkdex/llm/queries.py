@@ -12,6 +12,7 @@ from sparkdex.llm.ngrams import count_ngrams, mark_terms, text_suffixes
 from sparkdex.llm.packing import pack_texts
 from sparkdex.llm.similar import similar_objects
 from sparkdex.llm.terms import term_records, text_content
+from sparkdex.llm.truncation import find_truncated, truncation_rates
 
 #: Cells scanned per query where no lowest cosine bounds the search.
 NEAREST_PROBES = 64
@@ -204,3 +205,22 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = packed(spark, sf_dir).groupBy("container_id").agg((F.max("bin") + 1).alias("bins"), F.sum("n_tokens").alias("tokens"))
     kinds = read_table(spark, sf_dir, "containers").select("container_id", "capacity_tokens")
     return bins.join(kinds, "container_id").withColumn("fill", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6))
+
+
+# --- 6: texts cut off by field limits ----------------------------------------------
+
+
+def truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_truncated(read_table(spark, sf_dir, "varchar_rows").select("row_id", "source", "tabla", "columna", "max_bytes", "valor"))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of varchar_rows whose value was cut inside a word or a sentence."""
+    return truncation(spark, sf_dir).where("cut").select("row_id")
+
+
+@query
+def p6_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source the share of its values that were cut."""
+    return truncation_rates(truncation(spark, sf_dir))
