@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkdex.common import read_table
 from sparkdex.llm.clusters import describe_clusters, pivot_clusters, usable_vector
 from sparkdex.llm.distinctive import distinctive_terms
+from sparkdex.llm.leakage import find_leaks
 from sparkdex.llm.ngrams import count_ngrams, mark_terms, text_suffixes
 from sparkdex.llm.packing import pack_texts
 from sparkdex.llm.similar import similar_objects
@@ -224,3 +225,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each source the share of its values that were cut."""
     return truncation_rates(truncation(spark, sf_dir))
+
+
+# --- 9: evaluation texts in training text ------------------------------------------
+
+
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat an item's passage, with the item."""
+    return leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query
+def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each leaked item the documents holding it and the most of its words repeated."""
+    return leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("matched").alias("most_matched"), F.max("item_words").alias("item_words"))
