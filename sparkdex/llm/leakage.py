@@ -81,7 +81,7 @@ class LeakIndex:
     prefixes: list[list[np.ndarray]]
 
     @classmethod
-    def build(cls, ids: list, passages: list[str | None], window: int = 8, repeats: int = 8, samples: int = 5, seed: int = 11) -> LeakIndex:
+    def build(cls, ids: list, passages: list[str | None], window: int = 9, repeats: int = 4, samples: int = 7, seed: int = 11) -> LeakIndex:
         words = [passage_words(p) for p in passages]
         vocabulary: dict[str, int] = {}
         for w in words:
@@ -112,6 +112,11 @@ class LeakIndex:
             self.prefixes.append(tables)
         return self
 
+    def part(self, doc: np.ndarray, item: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """An item and the part of a document it may be repeated in."""
+        reach = len(self.items[item]) + 10
+        return self.items[item], doc[max(0, lo - reach) : hi + reach]
+
     def _lay_out(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All sequences in one array, a window of zeros after each; their starts."""
         gap = np.zeros(self.window + 1, dtype=np.int32)
@@ -145,65 +150,123 @@ class LeakIndex:
                 off = off + moves[t, sym]
         return partial if tables is None else (at, key)
 
-    def candidates(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, item, doc position, item position) of all windows that meet in some repetition."""
+    def hits(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, item, offset, item position), distinct and in this order, of all windows that
+        meet in some repetition; offset is document position less item position."""
         seq, start = self._lay_out(docs)
-        n = np.array([len(d) for d in docs])
         known = np.concatenate([[0], np.cumsum(seq > 0)])
         pos = np.arange(max(0, len(seq) - self.window))
         # a window with half of its words unknown to every item cannot be part of a stretch
         pos = pos[(known[pos + self.window] - known[pos]) * 2 >= self.window]
+        shift = max((len(x) for x in self.items), default=0)
+        bits_i, bits_p = max(1, len(self.items).bit_length()), max(1, shift.bit_length())
+        bits_o = max(1, (shift + max((len(d) for d in docs), default=0)).bit_length())
+        if len(docs).bit_length() + bits_i + bits_p + bits_o > 62:
+            raise ValueError("batch too large to number its hits")
         out = []
         for r in range(len(self.keys)):
             at, key = self._walk(seq, pos, r, self.prefixes[r])
             lo, hi = np.searchsorted(self.keys[r], key), np.searchsorted(self.keys[r], key, side="right")
-            c = hi - lo
-            k = np.nonzero(c)[0]
-            if len(k):
-                reps = c[k]
-                idx = np.repeat(lo[k] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
-                out.append(np.column_stack([np.repeat(at[k], reps), self.entries[r][idx]]))
-        if not out:
-            e = np.empty(0, dtype=np.int64)
-            return e, e, e, e
-        h = np.concatenate(out).astype(np.int64)
-        if len(self.items) < (1 << 14) and max(map(len, self.items)) < (1 << 10):  # one integer per hit
-            code = np.unique((h[:, 0] << 24) | (h[:, 1] << 10) | h[:, 2])
-            at, item, ip = code >> 24, (code >> 10) & ((1 << 14) - 1), code & ((1 << 10) - 1)
-        else:
-            h = np.unique(h, axis=0)
-            at, item, ip = h[:, 0], h[:, 1], h[:, 2]
-        doc = np.searchsorted(start, at, side="right") - 1
-        ok = at - start[doc] < n[doc]
-        return doc[ok], item[ok], (at - start[doc])[ok], ip[ok]
-
-
-def regions(ix: LeakIndex, doc: np.ndarray, item: np.ndarray, dpos: np.ndarray, ipos: np.ndarray, slack: int, need: int) -> np.ndarray:
-    """(doc, item, from, to) parts of documents where the met windows cover `need` item words.
-
-    Windows of one item in one document are grouped where they lie within the item's length
-    plus `slack` of each other; every group is kept whose windows cover enough words.
+            k = np.nonzero(hi > lo)[0]
+            reps = (hi - lo)[k]
+            idx = np.repeat(lo[k] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+            at = np.repeat(at[k], reps)
+            doc = np.searchsorted(start, at, side="right") - 1
+            item, ip = self.entries[r][idx, 0].astype(np.int64), self.entries[r][idx, 1].astype(np.int64)
+            out.append((((((doc << bits_i) | item) << bits_o) | (at - start[doc] - ip + shift)) << bits_p) | ip)
+        code = np.sort(np.concatenate(out)) if out else np.empty(0, dtype=np.int64)
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+        pair = code >> (bits_o + bits_p)
+        return pair >> bits_i, pair & ((1 << bits_i) - 1), ((code >> bits_p) & ((1 << bits_o) - 1)) - shift, code & ((1 << bits_p) - 1)
+
+
+def _runs(*cols: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any column."""
+    new = np.zeros(len(cols[0]), dtype=bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    return np.nonzero(new)[0]
+
+
+def regions(ix: LeakIndex, docs: list[np.ndarray], doc: np.ndarray, item: np.ndarray, off: np.ndarray, ipos: np.ndarray, slack: int, share: float, drift: int = 4, gap: int = 12, least: int = 9) -> np.ndarray:
+    """(doc, item, from, to) parts of documents where met windows cover `share` of an item's words.
+
+    Windows that meet by chance lie anywhere; those of a repeated stretch keep the offset
+    between document and item, up to the words its edits add or drop. Runs of windows at
+    like offsets, at most `gap` words apart, are joined; a part is kept where the joined runs
+    within the item's length and `slack` of each other cover enough words together.
     """
+    empty = np.empty((0, 4), dtype=np.int64)
     if not len(doc):
-        return np.empty((0, 4), dtype=np.int64)
-    o = np.lexsort((dpos, item, doc))
-    doc, item, dpos, ipos = doc[o], item[o], dpos[o], ipos[o]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (dpos[1:] - dpos[:-1] > slack)])
-    group = np.cumsum(new) - 1
-    # words covered in the document and in the item, whichever is less
+        return empty
     w = ix.window
-
-    def covered(pos: np.ndarray) -> np.ndarray:
-        k = np.lexsort((pos, group))
-        g, p = group[k], pos[k]
-        step = np.minimum(w, np.concatenate([p[1:] - p[:-1], [w]]))
-        last = np.concatenate([g[1:] != g[:-1], [True]])
-        return np.bincount(g, np.where(last, w, step))
-
-    ok = np.nonzero(np.minimum(covered(dpos), covered(ipos)) >= need)[0]
-    first = np.nonzero(new)[0]
-    ends = np.concatenate([first[1:], [len(doc)]]) - 1
-    return np.column_stack([doc[first], item[first], dpos[first], dpos[ends] + w])[ok]
+    size = np.array([len(x) for x in ix.items], dtype=np.int64)
+    far = np.concatenate([[False], ipos[1:] - ipos[:-1] > w + gap])
+    run = _runs(doc, item, off, np.cumsum(far))
+    step = np.minimum(w, np.concatenate([ipos[1:] - ipos[:-1], [w]]))
+    last = np.concatenate([run[1:], [len(doc)]]) - 1
+    step[last] = w
+    d, i, o, p0, p1, cover = doc[run], item[run], off[run], ipos[run], ipos[last] + w, np.add.reduceat(step, run)
+    pair = _runs(d, i)
+    enough = np.add.reduceat(cover, pair) >= share * size[i[pair]]
+    k = np.nonzero(np.repeat(enough, np.diff(np.concatenate([pair, [len(d)]]))))[0]
+    d, i, o, p0, p1 = d[k], i[k], o[k], p0[k], p1[k]
+    if not len(d):
+        return empty
+    # the words that are in fact equal along each run
+    n = p1 - p0
+    at = np.cumsum(n) - n
+    p = np.arange(n.sum()) - np.repeat(at - p0, n)
+    words, first = ix._lay_out(docs)
+    theirs, start = ix._lay_out(ix.items)
+    x = np.repeat(first[d] + o, n) + p
+    same = (words[np.clip(x, 0, len(words) - 1)] == theirs[np.repeat(start[i], n) + p]).astype(np.int64)
+    cover = np.add.reduceat(same, at)
+    k = np.nonzero(cover >= 4)[0]
+    d, i, o, p0, p1, cover = d[k], i[k], o[k], p0[k], p1[k], cover[k]
+    found = []
+    for phase in (0, drift):  # offsets in overlapping bands of 2 * drift
+        if not len(d):
+            return empty
+        band = (o + phase) // (2 * drift)
+        k = np.lexsort((p0 + o, band, i, d))
+        a, b, c, s0, s1, q0, q1, n = d[k], i[k], band[k], (p0 + o)[k], (p1 + o)[k], p0[k], p1[k], cover[k]
+        apart = np.concatenate([[False], s0[1:] - s1[:-1] > gap])
+        g = _runs(a, b, c, np.cumsum(apart))
+        lo, hi = s0[g], np.maximum.reduceat(s1, g)
+        span = np.minimum(hi - lo, np.maximum.reduceat(q1, g) - np.minimum.reduceat(q0, g))
+        n = np.minimum(np.add.reduceat(n, g), span)
+        # fewer equal words are most often a phrase of the language
+        ok = np.nonzero(n >= least)[0]
+        found.append((a[g[ok]], b[g[ok]], lo[ok], hi[ok], n[ok]))
+    d, i, lo, hi, cover = (np.concatenate(x) for x in zip(*found))
+    if not len(d):
+        return empty
+    k = np.lexsort((lo, i, d))
+    d, i, lo, hi, cover = d[k], i[k], lo[k], hi[k], cover[k]
+    # a stretch seen in both bandings counts once
+    twice = np.concatenate([[False], (d[1:] == d[:-1]) & (i[1:] == i[:-1]) & (lo[1:] < hi[:-1])])
+    cover = np.where(twice, np.maximum(0, cover - np.concatenate([[0], cover[:-1]])), cover)
+    # words covered from each run on, within the reach of one passage
+    number = np.zeros(len(d), dtype=np.int64)
+    number[_runs(d, i)[1:]] = 1
+    at = (np.cumsum(number) << 32) + lo
+    total = np.concatenate([[0], np.cumsum(cover)])
+    end = np.searchsorted(at, at + (size[i] * 5) // 4 + slack, side="right")
+    ok = np.nonzero(total[end] - total[: len(d)] >= share * size[i])[0]
+    if not len(ok):
+        return empty
+    to = np.array([hi[a:b].max() for a, b in zip(ok, end[ok])])
+    r = np.column_stack([d[ok], i[ok], lo[ok], to])
+    out = [r[0].tolist()]
+    for x in r[1:].tolist():
+        y = out[-1]
+        if x[0] == y[0] and x[1] == y[1] and x[2] <= y[3]:
+            y[3] = max(y[3], x[3])
+        else:
+            out.append(x)
+    return np.array(out, dtype=np.int64)
 
 
 def align(parts: list[tuple[np.ndarray, np.ndarray]], stretch: int = 10, edit: int = 2, most_gap: int = 90) -> np.ndarray:
@@ -266,10 +329,12 @@ def find_leaks(
     items: DataFrame,
     share: float = 0.4,
     least: int = 18,
-    window: int = 8,
-    repeats: int = 8,
-    samples: int = 5,
+    edits: int = 8,
+    window: int = 9,
+    repeats: int = 4,
+    samples: int = 7,
     slack: int = 90,
+    cover: float = 0.22,
     block_words: int = 200_000,
 ) -> DataFrame:
     """(doc_id, item_id, matched, item_words) for documents that repeat an item's passage.
@@ -307,17 +372,14 @@ def find_leaks(
                 for s in range(0, len(big), 500):
                     b = big.slice(s, 500)
                     docs = [np.array(list(map(ids.__getitem__, raw_words(t))), dtype=np.int32) if t else np.empty(0, np.int32) for t in b.column("text").to_pylist()]
-                    reg = regions(ix, *ix.candidates(docs), slack, window + 4)
+                    reg = regions(ix, docs, *ix.hits(docs), slack, cover)
+                    reg = reg[np.argsort(reg[:, 3] - reg[:, 2], kind="stable")]  # parts of like size are aligned together
                     got = []
-                    for t in range(0, len(reg), 256):
-                        chunk = reg[t : t + 256]
-                        parts = []
-                        for d, i, lo, hi in chunk:
-                            reach = len(ix.items[i]) + 10
-                            parts.append((ix.items[i], docs[d][max(0, lo - reach) : hi + reach]))
-                        m = align(parts, most_gap=slack)
+                    for t in range(0, len(reg), 64):
+                        chunk = reg[t : t + 64]
+                        m = align([ix.part(docs[d], i, lo, hi) for d, i, lo, hi in chunk], most_gap=slack)
                         n = np.array([len(ix.items[i]) for i in chunk[:, 1]])
-                        ok = np.nonzero(m >= np.maximum(least, np.ceil(share * n)))[0]
+                        ok = np.nonzero(m >= np.maximum(least, share * n) * (1 - 1 / edits))[0]
                         got += [(chunk[k, 0], chunk[k, 1], m[k], n[k]) for k in ok]
                     best: dict[tuple, tuple] = {}
                     for d, i, m, n in got:
