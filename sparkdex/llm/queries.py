@@ -11,6 +11,7 @@ from sparkdex.llm.distinctive import distinctive_terms
 from sparkdex.llm.leakage import find_leaks
 from sparkdex.llm.ngrams import count_ngrams, mark_terms, text_suffixes
 from sparkdex.llm.packing import pack_texts
+from sparkdex.llm.pii import find_personal, redact_personal
 from sparkdex.llm.similar import similar_objects
 from sparkdex.llm.terms import term_records, text_content
 from sparkdex.llm.truncation import find_truncated, truncation_rates
@@ -244,3 +245,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each leaked item the documents holding it and the most of its words repeated."""
     return leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("matched").alias("most_matched"), F.max("item_words").alias("item_words"))
+
+
+# --- 10: personal information --------------------------------------------------------
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal information of each document, with its kind, as written."""
+    return find_personal(read_table(spark, sf_dir, "documents")).select("doc_id", "kind", "found_text").distinct()
+
+
+@query
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return redact_personal(read_table(spark, sf_dir, "documents"))
