@@ -427,7 +427,10 @@ class Engine:
         weights = media.word_weights(hist, n)
         idf = {r["word"]: r["idf"] for r in weights.select("word", "idf").distinct().collect()}  # at most K words
         query = {w: c * idf[w] for w, c in counts.items() if w in idf}
-        ids = self.spark.read.schema("obj_id bigint, descriptor array<float>").parquet(f"{spec.path}/descriptors").select("obj_id").distinct()
+        ids = self.spark.read.schema("obj_id bigint, descriptor array<float>").parquet(f"{spec.path}/descriptors")
+        if modality == "image":  # unreadable images are no objects, unreadable sounds are empty ones
+            ids = ids.where(F.col("descriptor").isNotNull())
+        ids = ids.select("obj_id").distinct()
         scores = media.similar(weights, query, limit, where.mode, ids)
         used = None if where.mode == "SEQ" else {"type": "MM", "column": spec.key}
         return QueryResult(frame=self._ranked(entry, names, scores), columns=["score", *names], used_index=used, used_method=where.mode)
