@@ -46,6 +46,14 @@ def coarse_codebook(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np
     return c
 
 
+def _split(x: np.ndarray, sub: int) -> np.ndarray:
+    """(rows, subspaces, sub), the last subspace filled up with zeros."""
+    spare = -x.shape[1] % sub
+    if spare:
+        x = np.concatenate([x, np.zeros((len(x), spare), x.dtype)], axis=1)
+    return x.reshape(len(x), -1, sub)
+
+
 @dataclass
 class FourBitCodes:
     """Product quantiser with 16 centres per subspace and a score-aware loss.
@@ -60,10 +68,10 @@ class FourBitCodes:
     @classmethod
     def train(cls, x: np.ndarray, sub: int = 4, t: float = 0.2, rounds: int = 6, seed: int = 7) -> FourBitCodes:
         n, d = x.shape
-        m = d // sub
         eta = max(1.0, (d - 1) * t * t / (1 - t * t))
         rng = np.random.default_rng(seed)
-        xs = x.reshape(n, m, sub)
+        xs = _split(x, sub)
+        m = xs.shape[1]
         centres = np.stack([xs[rng.choice(n, 16, replace=n < 16), j] for j in range(m)]).astype(np.float32)
         self = cls(centres, 1.0)
         for r in range(rounds):
@@ -89,7 +97,7 @@ class FourBitCodes:
     def _codes(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """(n, m) centre numbers by coordinate descent on the loss."""
         m, _, sub = self.centres.shape
-        xs = x.reshape(len(x), m, sub)
+        xs = _split(x, sub)
         cn = (self.centres**2).sum(-1)  # (m, 16)
         dots = np.einsum("nms,mqs->nmq", xs, self.centres, optimize=True)
         sq = (xs * xs).sum(-1)
@@ -122,7 +130,7 @@ class FourBitCodes:
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(m / 2, n, 256) partial scores of every code byte for each query."""
         m, _, sub = self.centres.shape
-        t = np.einsum("nms,mqs->mnq", q.reshape(len(q), m, sub), self.centres, optimize=True).astype(np.float32)
+        t = np.einsum("nms,mqs->mnq", _split(q, sub), self.centres, optimize=True).astype(np.float32)
         if m % 2:
             t = np.concatenate([t, np.zeros((1, *t.shape[1:]), np.float32)])
         return (t[1::2, :, :, None] + t[0::2, :, None, :]).reshape((m + 1) // 2, len(q), 256)
