@@ -69,7 +69,11 @@ def test_score_aware_codes_lower_the_parallel_error():
     rec = aware.centres[np.arange(8), aware._codes(x)].reshape(len(x), -1)
     assert np.allclose(scan, x[:50] @ rec.T, atol=1e-4)
     usual = FourBitCodes.train(x)
-    assert np.corrcoef(usual.scan(x[:50], usual.encode(x)).ravel(), exact.ravel())[0, 1] > 0.9
+    approx = usual.scan(x[:50], usual.encode(x))
+    np.fill_diagonal(exact, -1)
+    np.fill_diagonal(approx, -1)
+    best = np.argsort(-approx, axis=1)[:, :50]
+    assert np.mean([exact[i].argmax() in best[i] for i in range(50)]) >= 0.9  # what reranking gets to see
 
 
 # --- 3 ----------------------------------------------------------------------------------
