@@ -9,6 +9,8 @@ verified by an exact alignment of the item with that part of the document.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,7 @@ from sparkdex.llm.terms import fold
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,80}>|&[a-zA-Z]{2,6};|&#\d{1,5};")
 _HYPHEN = regex.compile(r"[-­‐]\s*\n\s*")
 _MOJIBAKE = regex.compile(r"[Â-Å][\u0080-¿Œ-Ÿˆ-™]")
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _repair(m: regex.Match) -> str:
@@ -44,6 +46,8 @@ def raw_words(text: str) -> list[str]:
         text = _HYPHEN.sub("", text)
     if "Ã" in text or "Â" in text:
         text = _MOJIBAKE.sub(_repair, text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)  # accents written apart would split words
     return _WORD.findall(text.lower())
 
 
@@ -81,7 +85,7 @@ class LeakIndex:
     prefixes: list[list[np.ndarray]]
 
     @classmethod
-    def build(cls, ids: list, passages: list[str | None], window: int = 9, repeats: int = 4, samples: int = 7, seed: int = 11) -> LeakIndex:
+    def build(cls, ids: list, passages: list[str | None], window: int = 9, repeats: int = 4, samples: int = 6, seed: int = 11) -> LeakIndex:
         words = [passage_words(p) for p in passages]
         vocabulary: dict[str, int] = {}
         for w in words:
@@ -92,8 +96,9 @@ class LeakIndex:
         steps = 2 * window
         self = cls(list(ids), vocabulary, items, window, steps, [], [], [], [], [])
         for _ in range(repeats):
-            # the first positions stay aligned most often, hence one early sample; the rest anywhere
-            self.sampled.append(np.sort(rng.choice(steps, samples, replace=False)))
+            # one sampled position in each stretch of the embedding, so that no part of a window goes unseen
+            edges = np.linspace(0, steps, samples + 1).astype(int)
+            self.sampled.append(np.array([rng.integers(a, max(a + 1, b)) for a, b in zip(edges, edges[1:])]))
             self.moves.append(rng.integers(0, 2, (steps, len(vocabulary) + 1), dtype=np.uint8))
         seq, start = self._lay_out(items)
         where = [(i, p) for i, x in enumerate(items) for p in range(max(0, len(x) - window + 1))]
@@ -332,7 +337,7 @@ def find_leaks(
     edits: int = 8,
     window: int = 9,
     repeats: int = 4,
-    samples: int = 7,
+    samples: int = 6,
     slack: int = 90,
     cover: float = 0.22,
     block_words: int = 200_000,
