@@ -16,8 +16,8 @@ from sparkdex.llm.similar import similar_objects
 from sparkdex.llm.terms import term_records, text_content
 from sparkdex.llm.truncation import find_truncated, truncation_rates
 
-#: Cells scanned per query where no lowest cosine bounds the search.
-NEAREST_PROBES = 64
+#: Share of the cells scanned per query where no lowest cosine bounds the search.
+NEAREST_PROBES = 0.5
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -9,6 +9,7 @@ Exact copies are collapsed first and expanded last.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -202,17 +203,17 @@ def _search_block(ix: SimilarityIndex, q_id, q_vec, d_id, d_vec, d_code, k: int,
 
 
 def neighbours(
-    base: DataFrame, ix: SimilarityIndex, k: int, min_cosine: float | None = None, nprobe: int = 6, margin: float = 0.2, depth: int = 50, block: int = 6000, only_queries: str | None = None
+    base: DataFrame, ix: SimilarityIndex, k: int, min_cosine: float | None = None, nprobe: float = 6, margin: float = 0.2, depth: int = 50, block: int = 6000, only_queries: str | None = None
 ) -> DataFrame:
     """(q, d, cosine, rank): the k nearest of (id, vec list<int>) for each row, ids distinct vectors.
 
-    Each query scans the nprobe cells nearest to it. Cells above `block` rows are cut into
+    Each query scans the nprobe cells nearest to it (a share of all cells if below 1). Cells above `block` rows are cut into
     blocks of that size, and the queries of a cell into parts, so no task holds a whole
     crowded cell. only_queries is a condition that picks the rows taken as queries.
     """
     spark = base.sparkSession
     bc = spark.sparkContext.broadcast(ix)
-    probe_n = min(nprobe, len(ix.cells))
+    probe_n = min(math.ceil(nprobe * len(ix.cells)) if nprobe < 1 else int(nprobe), len(ix.cells))
     condition = F.expr(only_queries) if only_queries else F.lit(True)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +223,24 @@ def neighbours(
                 continue
             m = list_matrix(b.column("vec"), ix.dim, np.int32)
             u = unit(m)
-            near = np.empty((len(m), probe_n), dtype=np.int32)
+            asks = b.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
+            near: list[np.ndarray] = []
             for s in range(0, len(m), 2048):
                 sc = u[s : s + 2048] @ ix.cells.T
-                top = np.argpartition(-sc, probe_n - 1, axis=1)[:, :probe_n] if probe_n < sc.shape[1] else np.argsort(-sc, axis=1)
-                near[s : s + 2048] = np.take_along_axis(top, np.argsort(-np.take_along_axis(sc, top, axis=1), axis=1, kind="stable"), axis=1)
+                best = sc.argmax(1)
+                if probe_n <= 32:
+                    top = np.argpartition(-sc, probe_n - 1, axis=1)[:, :probe_n] if probe_n < sc.shape[1] else np.argsort(-sc, axis=1)
+                    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sc, top, axis=1), axis=1, kind="stable"), axis=1)
+                    near += [t if q else t[:1] for t, q in zip(top.astype(np.int32), asks[s : s + 2048])]
+                else:
+                    for i, q in enumerate(asks[s : s + 2048]):
+                        t = np.argpartition(-sc[i], probe_n - 1)[:probe_n] if q and probe_n < sc.shape[1] else np.arange(sc.shape[1]) if q else np.empty(0, np.int64)
+                        near.append(np.concatenate([[best[i]], t[t != best[i]]]).astype(np.int32))
             code = ix.codes.encode(u)
             width = code.shape[1]
             codes = pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer((np.arange(len(code) + 1) * width).astype(np.int32)), pa.py_buffer(code.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(list(near)), pack_sparse(m), codes, b.column("is_query")], names=["id", "near", "vec", "code", "is_query"]
+                [b.column("id"), pa.array(near, pa.list_(pa.int32())), pack_sparse(m), codes, b.column("is_query")], names=["id", "near", "vec", "code", "is_query"]
             )
 
     coded, _ = materialize(
@@ -279,7 +288,7 @@ def _fit_index(base: DataFrame, rows: int, sample_rows: int) -> SimilarityIndex
 
 
 def similar_objects(
-    objects: DataFrame, k: int = 5, min_cosine: float | None = 0.93, nprobe: int = 6, margin: float = 0.2, depth: int = 50, sample_rows: int = 20_000, only_queries: str | None = None
+    objects: DataFrame, k: int = 5, min_cosine: float | None = 0.93, nprobe: float = 16, margin: float = 0.2, depth: int = 50, sample_rows: int = 20_000, only_queries: str | None = None
 ) -> DataFrame:
     """(scope, obj_id, other_id, cosine, rank): for each object the k others of its scope most alike.
 
