@@ -9,6 +9,7 @@ their kind's score are kept, the surer ones first where they overlap.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -37,6 +38,7 @@ GIVEN_NAMES = set(
     edith edward elizabeth emma eric ethel florence frank george grace harold harry helen henry ian jack james jane
     janet jean john joseph joyce kate kevin linda margaret mark martha mary michael nancy norman paul peter philip
     ralph richard robert ronald rose ruth sally sarah simon stella stephen susan thomas walter wendy william
+    howard ivy lydia miles phoebe tobias oscar sidney hazel ivor leo nina pearl ralph ruby theo violet winifred
     afonso antonia beatriz caio duarte fabio fernao flavia gilberto heitor iara joana leandro luana marcia nuno
     otavio raimundo renata thiago tiago vasco""".split()
 )
@@ -191,10 +193,12 @@ def _name_end(text: str, at: int, most: int = 4) -> int | None:
                 to = after
                 break
             to = g.end()
-        if more and _given(more[0]):
-            parts += more
-            end = after
-    known = any(_given(p) for p in parts)
+        if more and not re.match(r"[\w@+.\-]*[@\d_+]|\.\w", text[after : after + 40]):
+            alone = len(more) == 1 and len(parts) <= 2 and re.match(r"\s*(?:[<:,;(.]|$)| (?:at|en|em)\b", text[after : after + 8])
+            if _given(more[0]) or (alone and upper):
+                parts += more
+                end = after
+    known = any(_given(p) for p in parts) or (not upper and len(parts) > 1 and parts[0].endswith("."))
     if not upper and not known:
         return None
     if upper and not known and len(parts) == 1:
@@ -295,8 +299,53 @@ def _number(text: str, m: re.Match) -> Span | None:
     return Span(m.start(), m.end(), "id_number" if ids >= tel else "phone", max(ids, tel))
 
 
+#: What stands in the way of patterns: twice-encoded letters, runs of blanks, accents written apart.
+_UNEVEN = re.compile(r"(?P<twice>[\u00c2-\u00c5][\u0080-\u00bf\u0152-\u0178\u02c6-\u2122])|(?P<blank>[ \t\u00a0\u202f]{2,}|[\t\u00a0\u202f])|(?P<apart>[^\W\d_][\u0300-\u036f]+)")
+
+
+def _even(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with those repaired, and where each of its characters starts and ends in the original."""
+    out, first, last, at = [], [], [], 0
+
+    def take(new: str, a: int, b: int) -> None:
+        out.append(new)
+        if len(new) == b - a:
+            first.extend(range(a, b))
+            last.extend(range(a + 1, b + 1))
+        else:
+            first.extend([a] * len(new))
+            last.extend([b] * len(new))
+
+    for m in _UNEVEN.finditer(text):
+        take(text[at : m.start()], at, m.start())
+        s = m.group()
+        if m.lastgroup == "twice":
+            for code in ("cp1252", "latin-1"):
+                try:
+                    s = s.encode(code).decode("utf-8")
+                    break
+                except UnicodeError:
+                    continue
+        elif m.lastgroup == "blank":
+            s = " "
+        else:
+            s = unicodedata.normalize("NFC", s)
+        take(s, m.start(), m.end())
+        at = m.end()
+    take(text[at:], at, len(text))
+    return "".join(out), first, last
+
+
 def find_spans(text: str) -> list[Span]:
-    """All kept spans of a text, in order, not overlapping."""
+    """All kept spans of a text, in order, not overlapping; positions are those of the text as written."""
+    doubtful = "  " in text or "\t" in text or "\u00a0" in text or "\u202f" in text or "Ã" in text or "Â" in text or not unicodedata.is_normalized("NFC", text)
+    if not doubtful or not _UNEVEN.search(text):
+        return _find(text)
+    even, first, last = _even(text)
+    return [Span(first[s.start], last[s.end - 1], s.kind, s.score) for s in _find(even)]
+
+
+def _find(text: str) -> list[Span]:
     out: set[Span] = set()
     low = text.lower()
     if len(low) != len(text):  # letters whose lower case is longer

@@ -350,6 +350,11 @@ def test_repairs_of_texts():
         ("La Avenida Voxvie estará cerrada. Vive en Psje. Nurza s/n. El grupo Calle Llogrex tocó dos veces.", []),
         ("Referencia 2024-93692. El código de barras 0-93305-545-X no coincide. El RID 46418623 apunta. id = 49762691;", []),
         ("La novela Vagrie recomienda fichas. La entrada cuesta S/ 560.50 y abre a las 10:30. Versión v2.491.1", []),
+        ("El  lector  IvÃ¡n  Gael  Sinex,  carnÃ© de identidad 95 501 952", [("name", "IvÃ¡n  Gael  Sinex"), ("id_number", "95 501 952")]),
+        ("Contato: Rosa Claumos Natalge, rosa.c@mail.example", [("name", "Rosa Claumos Natalge"), ("email", "rosa.c@mail.example")]),
+        ("Mrs Biadrert, Phebe: your result", [("name", "Biadrert, Phebe")]),
+        ("a nombre de s. fluemar llesa, identificación 99709073", [("name", "s. fluemar llesa"), ("id_number", "99709073")]),
+        ("Firmado: Ine\u0301s Pe\u0301rez Sol.", [("name", "Ine\u0301s Pe\u0301rez Sol")]),
         ("", []),
     ],
 )
