@@ -5,12 +5,30 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sparkdex_shipped", False):
+        return
+    sc._sparkdex_shipped = True
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="sparkdex-")
+    atexit.register(_remove_local, folder)
+    with zipfile.ZipFile(f"{folder}/sparkdex.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(f"{folder}/sparkdex.zip")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data directory."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkdex.common import ship_package
 from sparkdex.functions.coords import parse_point, parse_vector
 from sparkdex.functions.types import RID, ColumnType, SchemaError, bound, coerce
 from sparkdex.operators import layouts, media
@@ -66,6 +67,7 @@ class QueryResult:
 
 class Engine:
     def __init__(self, spark: SparkSession, warehouse: str):
+        ship_package(spark)
         self.spark = spark
         self.catalog = Catalog(spark, warehouse)
 

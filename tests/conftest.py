@@ -10,6 +10,9 @@ def spark(tmp_path_factory):
         .config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared"))).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from sparkdex.common import ship_package
+
+    ship_package(s)
     yield s
     s.stop()
 
