@@ -118,6 +118,7 @@ _STREET = re.compile(
     r"(?:(?:de|del|la|las|los|da|do|dos|san|santa)\s)*[^\W\d_]+(?:\s[^\W\d_]+){0,2}?,?\s(?:n\.?\s?[º°]\.?\s?|n[uú]m\.?\s?|nro\.?\s?|no\.\s?|#\s?)?\d+(?:\s?-\s?[a-z]\b|[a-z]\b)?" + _FLAT,
     re.I,
 )
+_COMMON_STREETS = {"alameda", "carretera", "paseo", "camino", "plaza", "rua", "travessa", "praça", "praca"}
 _BLOCK = re.compile(r"\b(?:mz\.?|mza\.?|manzana)\s\w{1,2},?\s(?:lt\.?|lote)\s\d+(?:, (?:urb\.|urbanizaci[oó]n|barrio|a\.h\.)\s[^\W\d_]+)?", re.I)
 _ENGLISH = re.compile(
     r"(?:\b(?:flat|apt\.?|apartment|unit|suite|room)\s\w{1,4},\s)?\b\d{1,5}[a-z]?\s[^\W\d_]+(?:\s[^\W\d_]+)?\s(?:street|lane|road|avenue|drive|court|close|square|way|terrace|(?:st|ln|rd|ave|dr|blvd)\.)(?!\w)(?:,\s(?:flat|apt\.?|apartment|unit|floor|suite)\s\w{1,4}\b)?",
@@ -369,6 +370,8 @@ def _find(text: str) -> list[Span]:
                     out.add(Span(start, m.start(), "name", 0.8))
             elif kind == "street":
                 m = _STREET.match(text, a)
+                if m and m.group().isupper() and low[a:b].strip() in _COMMON_STREETS and not re.search(r"[º#]", m.group()):
+                    m = None  # a shouted sentence, not a street
                 if m and not (a and text[a - 1].isalnum()) and not re.search(r"\b(?:grupo|banda|novela|romance|plaza)\s$", text[max(0, a - 10) : a], re.I):
                     out.add(Span(m.start(), m.end(), "address", 0.9))
             elif kind == "block":
