@@ -8,6 +8,7 @@ an index stale rebuilds or refreshes it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkdex.common import ship_package
 from sparkdex.functions.coords import parse_point, parse_vector
 from sparkdex.functions.types import RID, ColumnType, SchemaError, bound, coerce
-from sparkdex.operators import layouts, media
+from sparkdex.operators import batch, layouts, media
 from sparkdex.operators.fulltext import FtsIndex
 from sparkdex.plans import ast
 from sparkdex.plans.parser import index_kind, parse_script
@@ -143,10 +144,23 @@ class Engine:
         else:
             types = ingest.infer_types(cells)
             entry = TableEntry(name, [[c, t.name, t.length] for c, t in types])
-        storage.append(self.catalog, entry, ingest.cast_cells(cells, types))
+        n = storage.append(self.catalog, entry, ingest.cast_cells(cells, types))
         self._rebuild(entry)
         self.catalog.save(entry)
-        return storage.scan(self.spark, entry, entry.parts[-1:]).count()
+        return n
+
+    def load_csv_bytes(self, name: str, data: bytes, header: bool = True) -> int:
+        """load_csv of a file's content, through a file of the warehouse."""
+        path = f"{self.catalog.warehouse}/uploads/{uuid.uuid4().hex}.csv"
+        self.catalog.files.write_bytes(path, data)
+        try:
+            return self.load_csv(name, path, header)
+        finally:
+            self.catalog.files.delete(path)
+
+    def fetch(self, name: str, rids: DataFrame) -> DataFrame:
+        """The rows with the record ids of a one-column DataFrame."""
+        return storage.fetch(self.spark, self.catalog.load(name), rids)
 
     def insert(self, name: str, rows: Sequence[Sequence[object]]) -> int:
         entry = self._own(name)
@@ -163,8 +177,7 @@ class Engine:
             if entry.stream_batch >= batch:
                 return 0
             entry.stream_batch = batch
-        storage.append(self.catalog, entry, frame)
-        return self._appended(entry, storage.scan(self.spark, entry, entry.parts[-1:]).count())
+        return self._appended(entry, storage.append(self.catalog, entry, frame))
 
     def _appended(self, entry: TableEntry, n: int) -> int:
         if len(entry.parts) > MERGE_PARTS:
@@ -387,6 +400,23 @@ class Engine:
         names = [n for n, _, _ in entry.columns]
         return QueryResult(frame=near.select(*names, "d2"), columns=[*names, "d2"])
 
+    def probe_many(self, table: str, column: str, keys: DataFrame) -> DataFrame:
+        """Every (key, row) of the table's rows that equal a key: many look-ups in one join."""
+        entry = self.catalog.load(table)
+        entry.column(column)
+        return batch.lookup_many(storage.scan(self.spark, entry).drop(RID), column, keys)
+
+    def ranges_many(self, table: str, column: str, ranges: DataFrame) -> DataFrame:
+        """Every (range_id, row) within ranges (range_id, low, high): many range scans in one join."""
+        entry = self.catalog.load(table)
+        entry.column(column)
+        return batch.ranges_many(storage.scan(self.spark, entry).drop(RID), column, ranges)
+
+    def radius_many(self, table: str, columns: Sequence[str], centers: DataFrame, radius: float) -> DataFrame:
+        """Every (center_id, row) within `radius` of centers (center_id, x, y): many radius searches in one join."""
+        entry = self.catalog.load(table)
+        return batch.radius_many(storage.scan(self.spark, entry).drop(RID), list(columns), centers, radius)
+
     def _ranked(self, entry: TableEntry, names: list[str], scores: DataFrame) -> DataFrame:
         """The scored rows, best first; scores (id, score) are few, at most the query's limit."""
         rows = storage.scan(self.spark, entry).join(scores.withColumnRenamed(scores.columns[0], RID), RID)

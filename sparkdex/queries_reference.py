@@ -236,6 +236,30 @@ def knn_points(spark, sf_dir):
     return attached(spark, sf_dir, "part", "p_partkey").knn("part", ["p_size", "p_retailprice"], (25.0, 1000.0), 10).frame.select("p_partkey", "d2")
 
 
+@query("select * from orders where o_custkey in (select c_custkey from customer where c_custkey % 5 = 0)")
+def batch_point_lookup(spark, sf_dir):
+    keys = read_table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select("c_custkey")
+    return attached(spark, sf_dir, "orders", "o_orderkey").probe_many("orders", "o_custkey", keys)
+
+
+@query("select c_custkey as range_id, o_orderkey from customer join orders on o_orderkey between c_custkey * 10 and c_custkey * 10 + 19 where c_custkey % 3 = 0")
+def batch_range_lookup(spark, sf_dir):
+    r = read_table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("range_id"), (F.col("c_custkey") * 10).alias("low"), (F.col("c_custkey") * 10 + 19).alias("high"))
+    return attached(spark, sf_dir, "orders", "o_orderkey").ranges_many("orders", "o_orderkey", r).select("range_id", "o_orderkey")
+
+
+@query("""with c as (select distinct id, lat, lon from cities where lat between -90 and 90 and lon between -180 and 180 and not (lat = 0 and lon = 0))
+    select a.id as center_id, b.id from c a join c b on b.lat between a.lat - 0.0025 and a.lat + 0.0025
+    where a.id % 20 = 0 and (a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon) <= 0.00200005 * 0.00200005""")
+def batch_radius_search(spark, sf_dir):
+    from sparkdex.operators.batch import radius_many
+    from sparkdex.queries_core import city_points
+
+    points = city_points(spark, sf_dir)
+    centers = points.where("id % 20 = 0").select(F.col("id").alias("center_id"), "x", "y")
+    return radius_many(points, ["x", "y"], centers, 0.00200005).select("center_id", "id")
+
+
 # --- full text ---------------------------------------------------------------------------
 
 _FTS = r"""tok as (select rid as doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(title, '') || ' ' || coalesce(body, ''))), '\p{L}+')) as term from fts_corpus),

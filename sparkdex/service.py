@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
-from pathlib import Path
 from threading import Lock
 from urllib.parse import parse_qs, urlparse
 
@@ -14,11 +13,37 @@ from sparkdex.plans.engine import DEFAULT_LIMIT, Engine
 from sparkdex.plans.parser import parse, parse_script
 
 
+#: The page of GET /: a box for statements, results as a table of at most 150 rows, pictures and sound shown.
+PAGE = """<!doctype html><meta charset="utf-8"><title>sparkdex</title>
+<style>body{font:15px sans-serif;margin:2em}textarea{width:100%;height:7em}td,th{border:1px solid #bbb;padding:.2em .5em}table{border-collapse:collapse;margin:1em 0}img{max-height:6em}</style>
+<h1>sparkdex</h1><p>Tables: <span id="tables"></span></p>
+<textarea id="q">SELECT * FROM t LIMIT 20</textarea><p><button id="go">Run</button> <input type="file" id="f"> <input id="name" placeholder="table"> <button id="up">Load CSV</button></p><div id="out"></div>
+<script>
+const out = document.getElementById("out"), box = document.getElementById("q"), file = document.getElementById("f");
+const cell = v => { const s = v === null ? "" : String(v), ext = s.split(".").pop().toLowerCase();
+  if (["png", "jpg", "jpeg", "gif", "bmp"].includes(ext)) return Object.assign(new Image(), {src: s, title: s});
+  if (["wav", "mp3", "ogg"].includes(ext)) return Object.assign(document.createElement("audio"), {src: s, controls: true});
+  return document.createTextNode(s); };
+const show = r => { out.textContent = ""; if (r.detail) { out.textContent = r.detail; return; }
+  for (const x of r.results || [r]) { const t = out.appendChild(document.createElement("table"));
+    if (!x.columns) { t.insertRow().insertCell().textContent = JSON.stringify(x); continue; }
+    const h = t.insertRow(); x.columns.forEach(c => h.appendChild(document.createElement("th")).textContent = c);
+    x.rows.slice(0, 150).forEach(row => { const tr = t.insertRow(); row.forEach(v => tr.insertCell().appendChild(cell(v))); }); }
+  list(); };
+const post = (u, b) => fetch(u, {method: "POST", body: b}).then(r => r.json()).then(show);
+const list = () => fetch("/api/tables").then(r => r.json()).then(t => document.getElementById("tables").textContent = t.join(", "));
+document.getElementById("go").onclick = () => box.value.includes("<->") && file.files[0]
+  ? post("/api/sql_mm_query?" + new URLSearchParams({query: box.value, name: file.files[0].name}), file.files[0]) : post("/api/sql", JSON.stringify({query: box.value}));
+document.getElementById("up").onclick = () => post("/api/upload?" + new URLSearchParams({table: document.getElementById("name").value, name: file.files[0].name}), file.files[0]);
+list();
+</script>"""
+
+
 class Service:
     """What the endpoints do, with plain values in and out."""
 
-    def __init__(self, engine: Engine, uploads: str):
-        self.engine, self.uploads, self.lock = engine, uploads, Lock()
+    def __init__(self, engine: Engine):
+        self.engine, self.lock = engine, Lock()
 
     def run_sql(self, query: str) -> dict:
         """Run a script. Similarity by path is refused: files come by sql_with_file."""
@@ -45,13 +70,8 @@ class Service:
     def upload_csv(self, table: str, name: str, data: bytes, has_header: bool = True) -> dict:
         if not name.lower().endswith(".csv"):
             raise ValueError("only .csv files can be loaded")
-        path = Path(self.uploads) / f"{table}-{time.time_ns()}.csv"
-        path.write_bytes(data)
-        try:
-            with self.lock:
-                return {"ok": True, "inserted": self.engine.load_csv(table, str(path), has_header)}
-        finally:
-            path.unlink(missing_ok=True)
+        with self.lock:
+            return {"ok": True, "inserted": self.engine.load_csv_bytes(table, data, has_header)}
 
     def tables(self) -> list[str]:
         return self.engine.catalog.tables()
@@ -64,7 +84,7 @@ class Service:
 def serve(service: Service, port: int = 8000) -> ThreadingHTTPServer:
     """An HTTP server over a service; the caller runs serve_forever().
 
-    POST /api/sql {"query"}; POST /api/sql_mm_query?query=&name= and POST
+    GET / is a page to try it; POST /api/sql {"query"}; POST /api/sql_mm_query?query=&name= and POST
     /api/upload?table=&name=&has_header= with the file as body; GET /api/tables and
     /api/tables/NAME/schema. Errors in a request give 400, others 500.
     """
@@ -88,6 +108,14 @@ def serve(service: Service, port: int = 8000) -> ThreadingHTTPServer:
 
         def do_GET(self) -> None:  # noqa: N802
             parts = urlparse(self.path).path.strip("/").split("/")
+            if parts == [""]:
+                data = PAGE.encode()
+                self.send_response(200)
+                self.send_header("Content-Type", "text/html; charset=utf-8")
+                self.send_header("Content-Length", str(len(data)))
+                self.end_headers()
+                self.wfile.write(data)
+                return
             if parts == ["api", "tables"]:
                 self._answer(service.tables)
             elif len(parts) == 4 and parts[:2] == ["api", "tables"] and parts[3] == "schema":

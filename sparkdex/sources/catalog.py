@@ -86,6 +86,12 @@ class Files:
         opts[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
         ctx.rename(p, self.jvm.org.apache.hadoop.fs.Path(path), opts)
 
+    def write_bytes(self, path: str, data: bytes) -> None:
+        p, fs = self._at(path)
+        out = fs.create(p, True)
+        out.write(bytearray(data))
+        out.close()
+
     def read(self, path: str) -> str | None:
         p, fs = self._at(path)
         if not fs.exists(p):

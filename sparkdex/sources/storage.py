@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 from sparkdex.functions.types import RID, SchemaError, coerce
 from sparkdex.sources.catalog import Catalog, TableEntry
 
-_PARTITION_BITS = 33
-
 
 def table_schema(entry: TableEntry) -> T.StructType:
     return T.StructType([T.StructField(n, t.spark) for n, t in entry.types().items()])
@@ -33,19 +31,24 @@ def scan(spark: SparkSession, entry: TableEntry, parts: Sequence[str] | None = N
     return spark.read.schema(stored_schema(entry)).parquet(*parts)
 
 
-def append(catalog: Catalog, entry: TableEntry, rows: DataFrame) -> TableEntry:
-    """Write `rows` (the table's columns) as a new part; ids rise in the rows' partition order.
+def fetch(spark: SparkSession, entry: TableEntry, rids: DataFrame) -> DataFrame:
+    """The rows whose record ids are in the one column of `rids`: a semi-join, never a look-up per row."""
+    return scan(spark, entry).join(rids.select(F.col(rids.columns[0]).cast("bigint").alias(RID)), RID, "left_semi")
+
+
+def append(catalog: Catalog, entry: TableEntry, rows: DataFrame) -> int:
+    """Write `rows` (the table's columns) as a new part, return how many; ids rise in the rows' partition order.
 
     An id is the table's next free one plus the partition number and the row's place in its
-    partition, so it needs neither a shuffle nor a pass to count, and a task run again gives
-    the same ids. They are not dense; only their order means anything.
+    partition, so it needs no shuffle, and a task run again gives the same ids. They are not
+    dense; only their order means anything.
     """
     path = catalog.folder(entry.name, "part")
-    n_parts = max(1, rows.rdd.getNumPartitions())
     rows.select((F.monotonically_increasing_id() + F.lit(entry.next_rid)).alias(RID), *[F.col(n).cast(t.spark).alias(n) for n, t in entry.types().items()]).write.parquet(path)
+    n, last = catalog.spark.read.schema(T.StructType([T.StructField(RID, T.LongType())])).parquet(path).agg(F.count(F.lit(1)), F.max(RID)).first()
     entry.parts.append(path)
-    entry.next_rid += n_parts << _PARTITION_BITS
-    return entry
+    entry.next_rid = entry.next_rid if last is None else last + 1
+    return n
 
 
 def insert_rows(catalog: Catalog, entry: TableEntry, rows: Sequence[Sequence[object]]) -> TableEntry:

@@ -108,3 +108,26 @@ def test_regions_match_brute_force(spark):
     assert points_in_regions(points.limit(0), regions).count() == 0 and points_in_regions(points, regions.limit(0)).count() == 0
     whole = SlabMap([e for z, v in zones.items() for e in region_edges(z, *v)])
     assert {len(s) for s in whole.sets} >= {0, 1}
+
+
+def test_batched_probes_match_brute_force(spark):
+    from sparkdex.operators.batch import lookup_many, radius_many, ranges_many
+
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(-50, 50), rng.uniform(-3, 3)) for i in range(300)] + [(900, None, 1.0)]
+    d = spark.createDataFrame(rows, "i int, k int, y double")
+    keys = spark.createDataFrame([(3,), (3,), (-7,), (None,), (999,)], "x bigint")
+    assert sorted(r.i for r in lookup_many(d, "k", keys).collect()) == sorted(i for i, k, _ in rows if k in (3, -7))
+    for spans in ([(n, a, a + 3) for n, a in enumerate(range(-50, 50, 7))], [(n, a, a) for n, a in enumerate(range(-9, 9))] + [(100, -500, 500), (101, 5, 4), (102, None, 3)], []):
+        r = spark.createDataFrame(spans, "range_id int, low int, high int")
+        want = sorted((n, i) for n, lo, hi in spans if lo is not None for i, k, _ in rows if k is not None and lo <= k <= hi)
+        assert sorted((x.range_id, x.i) for x in ranges_many(d, "k", r, most_cells=4).collect()) == want
+    c = spark.createDataFrame([(n, rng.uniform(-9, 9), rng.uniform(-3, 3)) for n in range(20)], "center_id int, x double, y double")
+    want = {(x.center_id, i) for x in c.collect() for i, k, y in rows if k is not None and (k - x.x) ** 2 + (y - x.y) ** 2 <= 2.25}
+    assert {(x.center_id, x.i) for x in radius_many(d, ["k", "y"], c, 1.5).collect()} == want
+
+
+def test_fetch_by_record_id(engine):
+    engine.sql("CREATE TABLE t (a INT); INSERT INTO t VALUES (1), (2), (3)")
+    ids = engine.spark.createDataFrame([(0,), (2,), (99,)], "r int")
+    assert sorted(r.a for r in engine.fetch("t", ids).collect()) == [1, 3]

@@ -20,8 +20,8 @@ def test_stream_feeds_a_table_once(engine, spark, tmp_path):
     assert engine.insert_frame("t", engine.table("t"), batch=0) == 0  # a batch seen before
 
 
-def test_service_over_http(engine, tmp_path):
-    s = Service(engine, str(tmp_path))
+def test_service_over_http(engine):
+    s = Service(engine)
     assert s.upload_csv("p", "p.csv", b"id,name\n1,Ana\n2,Luis\n") == {"ok": True, "inserted": 2}
     with pytest.raises(ValueError):
         s.upload_csv("p", "p.txt", b"")
@@ -34,6 +34,7 @@ def test_service_over_http(engine, tmp_path):
     base = f"http://127.0.0.1:{server.server_port}"
     get = lambda p: json.load(urllib.request.urlopen(base + p))
     assert get("/api/tables") == ["p"]
+    assert b"<textarea" in urllib.request.urlopen(base + "/").read()
     assert get("/api/tables/p/schema")["schema"] == [["id", "INT", None], ["name", "VARCHAR", 4]]
     req = urllib.request.Request(base + "/api/sql", json.dumps({"query": "CREATE INDEX i ON p(id) TYPE HASH; SELECT name FROM p WHERE id = 2"}).encode())
     out = json.load(urllib.request.urlopen(req))
