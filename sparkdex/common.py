@@ -64,10 +64,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, label: str = "t") -> tuple[DataFrame, str]:
     """Write `df` as a table of the shared folder and read it back.
 
-    This cuts the lineage at a place that outlives any executor. Returns the read
+    This cuts the lineage at a place that outlives any executor; the table goes when the
+    application ends. Returns the read
     DataFrame and its path, so that loops can drop what a later round replaces.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkdex/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
