@@ -293,14 +293,14 @@ def similar_objects(
     """(scope, obj_id, other_id, cosine, rank): for each object the k others of its scope most alike.
 
     `objects` has scope, id and vec (non-negative integer array). Unusable vectors (null,
-    all zero) take no part; nulls inside count as zero; vectors of a scope whose length is
+    all zero) and rows without scope or id take no part; nulls inside count as zero; vectors of a scope whose length is
     not the scope's usual one are dropped. Cosines are rounded to 9 decimals, ties go to
     the smaller id, so the smallest ids of a group of copies stand for it. With min_cosine
     only partners at least that similar are sought and returned. Without, and where nprobe
     cells do not hold k others, fewer may come out.
     The cells and codes are fitted on at most 2 * sample_rows vectors; all are indexed.
     """
-    usable = objects.where(F.col("vec").isNotNull() & F.exists(F.coalesce("vec", F.array()), lambda v: F.coalesce(v, F.lit(0)) > 0))
+    usable = objects.where(F.col("scope").isNotNull() & F.col("id").isNotNull() & F.col("vec").isNotNull() & F.exists(F.coalesce("vec", F.array()), lambda v: F.coalesce(v, F.lit(0)) > 0))
     keyed = usable.select("scope", "id", "vec", *copy_key(F.col("vec")))
     on = ["scope", "k1", "k2"]
     groups = first_copies(keyed, "id", on)

@@ -81,11 +81,17 @@ def _mix(v: np.ndarray) -> np.ndarray:
 
 
 def context_keys(texts: list[str], salts: np.ndarray, only_ends: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(positions x lengths) keys of the contexts that end at each position, and each row's text.
+    """(positions x lengths) keys of the contexts that end at each position, and each row's text."""
+    parts = list(keys_by_length(texts, salts, only_ends))
+    return np.stack([k for k, _ in parts], axis=1), parts[0][1]
+
+
+def keys_by_length(texts: list[str], salts: np.ndarray, only_ends: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each context length the keys of the contexts that end at each position, and the text of each.
 
     Rolling polynomial hashes of all windows at once; a window that would cross the start
     of its text has key 0. salts is one value per text (its column and language). With
-    only_ends, just the last position of each text.
+    only_ends, just the last position of each text. One length is in memory at a time.
     """
     n = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -103,14 +109,15 @@ def context_keys(texts: list[str], salts: np.ndarray, only_ends: bool) -> tuple[
         else:
             of = np.repeat(np.arange(len(texts)), n)
             pos = np.arange(k) + 1
-        out = np.zeros((len(pos), len(LENGTHS)), np.uint64)
-        for j, length in enumerate(LENGTHS):
-            lo = first[of] if length == 0 else pos - length
-            ok = lo >= first[of]
-            p = pos[ok]
+    for j, length in enumerate(LENGTHS):
+        out = np.zeros(len(pos), np.uint64)
+        lo = first[of] if length == 0 else pos - length
+        ok = lo >= first[of]
+        p = pos[ok]
+        with np.errstate(over="ignore"):
             h = (s[p] - s[lo[ok]]) * up[p]
-            out[ok, j] = _mix(h + salts[of[ok]] + np.uint64(j + 1) * np.uint64(0xD6E8FEB86659FD93))
-    return out, of
+            out[ok] = _mix(h + salts[of[ok]] + np.uint64(j + 1) * np.uint64(0xD6E8FEB86659FD93))
+        yield out, of
 
 
 def _salts(cols: list[str], langs: list[str]) -> np.ndarray:
@@ -192,11 +199,12 @@ def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, blo
         for b in batches:
             for s in range(0, len(b), 2000):
                 part = b.slice(s, 2000)
-                keys, _ = context_keys(part.column("m").to_pylist(), _salts(part.column("pool").to_pylist(), part.column("lang").to_pylist()), False)
-                flat = keys.ravel().view(np.int64)
-                flat = flat[flat != 0]
-                hit = (bloom[np.mod(flat >> 6, bloom_words)] >> np.mod(flat, 64)) & 1
-                k, n = np.unique(flat[hit == 1], return_counts=True)
+                met = []
+                for keys, _ in keys_by_length(part.column("m").to_pylist(), _salts(part.column("pool").to_pylist(), part.column("lang").to_pylist()), False):
+                    flat = keys.view(np.int64)
+                    flat = flat[flat != 0]
+                    met.append(flat[(bloom[np.mod(flat >> 6, bloom_words)] >> np.mod(flat, 64)) & 1 == 1])
+                k, n = np.unique(np.concatenate(met), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "seen"])
 
     seen = prepared.select("pool", "lang", "m").mapInArrow(all_keys, "key bigint, seen bigint").groupBy("key").agg(F.sum("seen").alias("seen"))
