@@ -8,6 +8,7 @@ ones are range-sorted files with tight min/max statistics, spatial ones are grid
 from __future__ import annotations
 
 import math
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,48 @@ def read_grid(spark: SparkSession, schema: T.StructType, path: str, info: dict,
     return d.where(box & (dist <= r * r)).drop(PX, PY, CELL_X, CELL_Y)
 
 
+class Index(Protocol):
+    """What an index over a key offers: changes, and look-ups that give DataFrames of rows.
+
+    A kind without an order, such as a hash, raises NotImplementedError for ranges.
+    """
+
+    def insert(self, rows: DataFrame) -> None: ...
+
+    def search(self, key: object) -> DataFrame: ...
+
+    def remove(self, key: object, rid: int | None = None) -> None: ...
+
+    def range_search(self, low: object, high: object) -> DataFrame: ...
+
+
+class HashBase:
+    """A hash-bucketed base with appended rows and tombstones: equality only."""
+
+    def __init__(self, base: DataFrame, column: str, path: str, buckets: int = 16):
+        self.column, self.path, self.schema, self.spark = column, path, base.schema, base.sparkSession
+        self.info = write_hash(base, column, path, buckets)
+        self.delta: list[DataFrame] = []
+        self.dead: DataFrame | None = None
+
+    def insert(self, rows: DataFrame) -> None:
+        self.delta.append(rows.select(*self.schema.names))
+
+    def search(self, key: object) -> DataFrame:
+        out = read_hash(self.spark, self.schema, self.path, self.info, self.column, key)
+        for d in self.delta:
+            out = out.unionByName(d.where(F.col(self.column) == F.lit(key)))
+        return out if self.dead is None else out.join(self.dead.distinct(), RID, "left_anti")
+
+    def remove(self, key: object, rid: int | None = None) -> None:
+        rows = self.search(key)
+        dead, _ = materialize((rows if rid is None else rows.where(F.col(RID) == rid)).select(RID), "tombstones")
+        self.dead = dead if self.dead is None else self.dead.union(dead)
+
+    def range_search(self, low: object, high: object) -> DataFrame:
+        raise NotImplementedError("a hash index has no ranges")
+
+
 class SortedBase:
     """A sorted base with appended rows and tombstones: the static ordered kinds.
 

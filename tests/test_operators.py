@@ -131,3 +131,21 @@ def test_fetch_by_record_id(engine):
     engine.sql("CREATE TABLE t (a INT); INSERT INTO t VALUES (1), (2), (3)")
     ids = engine.spark.createDataFrame([(0,), (2,), (99,)], "r int")
     assert sorted(r.a for r in engine.fetch("t", ids).collect()) == [1, 3]
+
+
+def test_hash_base(spark, tmp_path):
+    from pytest import raises
+
+    from sparkdex.operators.layouts import HashBase
+
+    rows = [(k, 100 * (i + 1)) for i, k in enumerate(["apple", "banana", "cherry", "date", "elder", "fig", "grape", "fig"])]
+    b = HashBase(spark.createDataFrame(rows, f"id string, {RID} bigint"), "id", "file://" + str(tmp_path / "h"), buckets=2)
+    get = lambda k: sorted(r[RID] for r in b.search(k).collect())
+    assert get("fig") == [600, 800] and get("nope") == []
+    b.insert(spark.createDataFrame([("fig", 900)], f"id string, {RID} bigint"))
+    b.remove("fig", 600)
+    assert get("fig") == [800, 900]
+    b.remove("fig")
+    assert get("fig") == [] and get("grape") == [700]
+    with raises(NotImplementedError):
+        b.range_search("a", "b")
