@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -18,12 +19,17 @@ def ship_package(spark: SparkSession) -> None:
         return
     sc._sparkdex_shipped = True
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="sparkdex-")
-    atexit.register(_remove_local, folder)
-    with zipfile.ZipFile(f"{folder}/sparkdex.zip", "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(f"{folder}/sparkdex.zip")
+    to = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkdex/package-{uuid.uuid4().hex}.zip")
+    fs = to.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(to, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    fs.deleteOnExit(to)
+    sc.addPyFile(to.toString())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
