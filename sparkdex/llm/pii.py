@@ -24,23 +24,17 @@ _RANK = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
 
 #: Frequent given names of the languages covered, folded.
 GIVEN_NAMES = set(
-    """adrian alba alberto alejandra alejandro alicia alvaro amelia ana andrea andres angela antonio arturo beatriz
-    benjamin berta bruno camila carla carlos carmen carolina catalina cecilia clara claudia cristina daniel daniela
-    david diego dora eduardo elena elisa eloy emilia emilio enrique ernesto esteban eva fatima felipe felix fernanda
-    fernando francisco gabriel gabriela gael gerardo gloria gonzalo graciela guillermo gustavo hector helena hugo ignacio ines
-    irene isabel ivan jaime javier jesus joaquin joan joao jorge jose josefa juan juana julia julio karina keith laura
-    lautaro leonor leticia lidia lola lorena lucas lucia luciano luis luisa luz manuel marcela marcos margarita maria
-    mariana mario marta martin mateo matias mauricio mercedes miguel miriam monica natalia nelida nicolas noelia nora
-    nuria olga oliver oscar pablo patricia paula paulo pedro pilar rafael ramiro ramon raquel raul rebeca ricardo
-    roberto rocio rodrigo rosa rosario ruben salvador samuel sandra santiago sara sebastian sergio silvia simon sofia
-    soledad stanley susana teresa tomas valentina valeria vera veronica vicente victor violeta virginia yamila yolanda
-    zacarias zoe alan alice amy andrew anne arthur barbara brian carol charles claire derek diana donald dorothy
-    edith edward elizabeth emma eric ethel florence frank george grace harold harry helen henry ian jack james jane
-    janet jean john joseph joyce kate kevin linda margaret mark martha mary michael nancy norman paul peter philip
-    ralph richard robert ronald rose ruth sally sarah simon stella stephen susan thomas walter wendy william
-    howard ivy lydia miles phoebe tobias oscar sidney hazel ivor leo nina pearl ralph ruby theo violet winifred
-    afonso antonia beatriz caio duarte fabio fernao flavia gilberto heitor iara joana leandro luana marcia nuno
-    otavio raimundo renata thiago tiago vasco""".split()
+    """adrian alberto alejandro alicia alvaro amelia ana andrea andres angela antonio beatriz benjamin berta bruno camila
+    carla carlos carmen carolina cecilia clara claudia cristina daniel david diego eduardo elena elisa eloy emilia enrique
+    ernesto esteban felipe fernanda fernando francisco gabriel gael gloria guillermo gustavo hector hugo ignacio ines irene
+    isabel ivan jaime javier joaquin jorge jose juan juana julia julio laura lorena lucas lucia luis luisa manuel marcos
+    margarita maria mariana mario marta martin mateo mercedes miguel monica natalia nelida nicolas noelia nora nuria oscar
+    pablo patricia paula pedro pilar rafael ramon raquel raul ricardo roberto rocio rodrigo rosa ruben salvador samuel
+    sandra santiago sara sergio silvia simon sofia susana teresa tomas valentina vicente victor violeta yamila yolanda zacarias
+    alan alice amy arthur charles claire donald dorothy edith edward edwin elizabeth emma eric frank george grace harold harry
+    helen henry hazel howard ivy jack james jane joan john joyce keith kevin linda lydia margaret mark mary michael miles nancy oliver
+    peter philip phoebe ralph robert roland rose ruth sarah stanley stella stephen susan thomas tobias walter wendy william
+    afonso antonia caio duarte joana joao paulo thiago""".split()
 )
 _WORD = r"[^\W\d_][^\W\d_'’\-]*"
 #: Words no part of a name may be, whatever their case.

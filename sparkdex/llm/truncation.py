@@ -46,12 +46,14 @@ def language(text: str) -> str:
     return best
 
 
-def masked(text: str, common: set[str], starts: set[str]) -> str:
-    """Lower case, numbers as 0, words that are not common as one symbol.
+def masked(text: str, common: set[str], starts: set[str]) -> tuple[str, bool]:
+    """Lower case, numbers as 0, words that are not common as one symbol; whether it ends in a fragment.
 
-    The last word stays as it is where a common word starts with it: it may be cut.
+    The last word stays as it is where a common word starts with it: it may be cut. It is a
+    fragment if it is no common word itself and not written as a name.
     """
     low = text.lower()
+    fragment = False
     out, at = [], 0
     for m in _WORD.finditer(low):
         w = m.group()
@@ -60,13 +62,16 @@ def masked(text: str, common: set[str], starts: set[str]) -> str:
             out.append("0")
         elif low[m.start() - 1 : m.start()] == "#":
             out.append(NAME)
-        elif w in common or (m.end() == len(low) and w in starts):
+        elif w in common:
             out.append(w)
+        elif m.end() == len(low) and w in starts:
+            out.append(w)
+            fragment = len(text) == len(low) and (text[m.start()].islower() or text.isupper())
         else:
             out.append(NAME)
         at = m.end()
     out.append(low[at:])
-    return START + "".join(out)
+    return START + "".join(out), fragment
 
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2^64
@@ -142,10 +147,10 @@ def _otsu(centres: np.ndarray, n: np.ndarray, default: float) -> float:
 
 
 def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, bloom_words: int = 1 << 20) -> DataFrame:
-    """(row_id, lang, columna, pool, log_odds, context, final, broken) of (row_id, columna, pool, valor).
+    """(row_id, lang, columna, pool, log_odds, context, final, broken, fragment) of (row_id, columna, pool, valor).
 
     pool names the columns counted together. Values that are null, empty or blank must be gone. A word is common when it is in more
-    than max(4, rows / common_share) values, so there are at most common_share times the
+    than max(4, rows / common_share) values before their end, so there are at most common_share times the
     mean number of words of a value; they alone are broadcast. Contexts that end no value
     are dropped while counting by a Bloom filter of fixed size.
     """
@@ -156,7 +161,8 @@ def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, blo
         for b in batches:
             c: Counter = Counter()
             for t in b.column("t").to_pylist():
-                c.update(set(_WORD.findall(t.lower())))
+                low = t.lower()
+                c.update({m.group() for m in _WORD.finditer(low) if m.end() < len(low)})  # what ends a value may be cut
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
     total = base.count()
@@ -170,14 +176,15 @@ def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, blo
         for b in batches:
             texts = b.column("t").to_pylist()
             langs = [language(t) for t in texts]
-            m = [masked(t, common, starts) for t in texts]
+            both = [masked(t, common, starts) for t in texts]
+            m = [x for x, _ in both]
             yield pa.RecordBatch.from_arrays(
                 [b.column("row_id"), b.column("columna"), b.column("pool"), pa.array(langs, pa.string()), pa.array(m, pa.string()), pa.array([t[-1] in FINAL for t in texts], pa.bool_()),
-                 pa.array([t[-1] == "\ufffd" for t in texts], pa.bool_())],
-                names=["row_id", "columna", "pool", "lang", "m", "final", "broken"],
+                 pa.array([t[-1] == "\ufffd" for t in texts], pa.bool_()), pa.array([f for _, f in both], pa.bool_())],
+                names=["row_id", "columna", "pool", "lang", "m", "final", "broken", "fragment"],
             )
 
-    prepared, _ = materialize(base.mapInArrow(mask, "row_id bigint, columna string, pool string, lang string, m string, final boolean, broken boolean"), "ends")
+    prepared, _ = materialize(base.mapInArrow(mask, "row_id bigint, columna string, pool string, lang string, m string, final boolean, broken boolean, fragment boolean"), "ends")
 
     def end_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,7 +236,8 @@ def find_truncated(rows: DataFrame, default_threshold: float = -1.5, bounds: tup
     values are no values: they give no row. A column's limit missing in a row is taken
     from its other rows; a column without any has none. room is the bytes left to the limit.
 
-    A value is cut where it ends in a broken character, or where its log-odds are below
+    A value is cut where it ends in a broken character, in a piece of a common word that is
+    no word itself (unless many values end so in that context), or where its log-odds are below
     the threshold of its language and column; columns whose values mostly end in a final
     mark share their counts and threshold. In columns whose values mostly end in a
     final mark, one that does is whole. A value that ends in a word the model cannot know
@@ -260,7 +268,8 @@ def find_truncated(rows: DataFrame, default_threshold: float = -1.5, bounds: tup
     sizes = usable.join(F.broadcast(limits), ["tabla", "columna"], "left").select("row_id", "source", (F.col("limit") - F.octet_length("valor")).alias("room"))
     out = odds.join(thresholds, ["lang", "pool"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(default_threshold))).join(sizes, "row_id")
     low = F.coalesce(F.col("log_odds") < F.col("threshold"), F.lit(False))
-    cut = F.col("broken") | (low & ~(F.col("marked") & F.col("final")))
+    inside = F.col("fragment") & F.coalesce(F.col("log_odds") < 2.0, F.lit(True))
+    cut = F.col("broken") | inside | (low & ~(F.col("marked") & F.col("final")))
     return out.select("row_id", "source", "lang", "columna", "log_odds", "context", "threshold", "room", cut.alias("cut"))
 
 

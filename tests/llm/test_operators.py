@@ -200,6 +200,13 @@ def test_context_keys_equal_only_for_equal_contexts():
     assert (ends[0] == by[5]).all() and ends[2][0] != by[2][0]  # another column, another key
 
 
+def test_fragments_of_common_words():
+    common, starts = {"semana", "la", "en"}, {"s", "se", "sem", "sema", "seman", "l", "e"}
+    assert truncation.masked("En la sema", common, starts)[1] and not truncation.masked("En la semana", common, starts)[1]
+    assert not truncation.masked("En la Sema", common, starts)[1] and truncation.masked("EN LA SEMA", common, starts)[1]
+    assert not truncation.masked("En la sema.", common, starts)[1]
+
+
 def test_cut_values_are_told_from_whole_ones(spark):
     rng = random.Random(6)
     subjects, verbs, objects = ["El gato gris", "La vecina nueva", "Un perro grande", "La biblioteca"], ["mira", "recuerda", "busca", "describe"], ["la ventana abierta", "el camino viejo", "una carta breve", "los libros usados"]
