@@ -287,8 +287,8 @@ def member_links(base: DataFrame, members: DataFrame, pivots: DataFrame, radius:
 def pivot_clusters(vectors: DataFrame, radius: float, dim: int, batch: int = 4096, merge: bool = True) -> tuple[DataFrame, DataFrame]:
     """Clusters of (id, vec array) at Euclidean distance `radius`.
 
-    Returns (id, cluster, group, dist) for every row and (cluster, medoid...) inputs: the
-    second is the base table (id, vec binary, ord) of distinct vectors. cluster is the
+    Returns (id, cluster, group, dist) for every row, and the base table (id, ord, vec
+    binary) of distinct vectors the rounds worked on. cluster is the
     closest pivot (ties to the smaller), group the smallest id of the records connected
     through pairs within the radius; without `merge`, group is the cluster. Rows that are
     exact copies share both. Vectors must be usable (see usable_vector); null ids are
@@ -309,7 +309,7 @@ def pivot_clusters(vectors: DataFrame, radius: float, dim: int, batch: int = 409
     order = F.shiftrightunsigned(F.xxhash64("id", F.lit("pivot order")), 64 - _ORDER_BITS)
     base, _ = materialize(reps.select("id", order.alias("ord"), "vec").mapInArrow(pack, "id bigint, ord bigint, vec binary"), "base")
     hits, _ = pivot_rounds(base, radius, dim, batch, total[1])
-    own = hits.groupBy("id").agg(F.min(F.struct("dist", "pivot")).alias("m"), F.count(F.lit(1)).alias("n"), F.min("pivot").alias("p0"), F.max("pivot").alias("p1"))
+    own = hits.groupBy("id").agg(F.min(F.struct("dist", "pivot")).alias("m"), F.count(F.lit(1)).alias("n"))
     members, _ = materialize(own.select("id", F.col("m.pivot").alias("pivot"), F.col("m.dist").alias("dist"), "n"), "members")
     out = members.select("id", F.col("pivot").alias("cluster"), "dist")
     if merge:
