@@ -1,7 +1,7 @@
 """Personal information in free text: found, typed, and replaced by placeholders.
 
 Regular expressions propose spans; checksums (DNI/NIE letters, CPF, Luhn, IBAN mod 97)
-confirm some of them; words just before a span raise or lower its score, so that a bare
+confirm those of a known shape; words just before a span raise or lower its score, so that a bare
 number is an identity number or a telephone only where the text says so. Spans that reach
 their kind's score are kept, the surer ones first where they overlap.
 """
@@ -60,7 +60,17 @@ _ID_WORD = re.compile(
     r"(?:\bdni|\bnie|\bnif|\bcpf|\brg|\bruc|\bssn|\bid(?: no\.?| number)?|\bc[eé]dula|\bcurp|\bidenti(?:dad|dade|ficaci[oó]n|ty|fication)|\bpasaporte|\bpassport|\bcarn[eé](?: de identidad)?|\bnational id|\biban|\btarjeta|\bcard)\b[^\d\n;+]{0,16}$", re.I
 )
 _NOT_ID = re.compile(r"(?:\brid|\blote|\bbatch|\breferen\w+|\brelease|\bversi[oó]n|\bc[oó]digo|\bbarcode|\bbarras|\bregistro|\brecord|\border|\bwhere id =|\bid = ?|\bcoord\w*|\bisbn|\bexpediente)[^\d\n]{0,12}$", re.I)
-_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
+_IBAN = re.compile(r"[A-Z](?<!\w\w)[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+#: Letters and digits of an IBAN, by country.
+_IBAN_LENGTHS = {
+    w[:2]: int(w[2:])
+    for w in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18
+    FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27
+    MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23
+    ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""".split()
+}
+#: First digits, and number of digits, of payment cards; a bare Luhn digit alone fits one number in ten.
+_CARD = re.compile(r"3[47]\d{13}|1\d{14}|(?!\d{15}$)(?:2[2-7]|3[05689]|[4-6]|81|9792)\d{11,17}")
 
 
 def dni_letter(number: int) -> str:
@@ -105,6 +115,33 @@ def identity_checksum(text: str) -> bool:
     return s.isdigit() and 13 <= len(s) <= 19 and luhn(s)
 
 
+def _iban_end(text: str, m: re.Match) -> int | None:
+    """Where the IBAN that starts at a match of _IBAN ends: capitals after it may have matched too."""
+    most = _IBAN_LENGTHS.get(m.group()[:2])
+    if most is None:
+        return m.end() if "iban" in text[max(0, m.start() - 44) : m.start()].lower() and iban_valid(m.group()) else None
+    places = [i for i in range(m.start(), m.end()) if text[i] != " "]
+    if len(places) < most:
+        return None
+    end = places[most - 1] + 1
+    return end if not text[end : end + 1].isalnum() and iban_valid(text[m.start() : end]) else None
+
+
+def _ibans(text: str) -> Iterator[Span]:
+    at = 0
+    while m := _IBAN.search(text, at):
+        end = _iban_end(text, m)
+        if end:
+            yield Span(m.start(), end, "id_number", 1.0)
+        at = end or m.start() + 2  # what is none may have reached over the next one's start
+
+
+def _confirmed(text: str) -> bool:
+    """True where the checksum of a known scheme fits and, for cards, the first digits and the length too."""
+    s = re.sub(r"[ .\-]", "", text)
+    return identity_checksum(text) and (len(s) <= 11 or _CARD.fullmatch(s) is not None)
+
+
 # --- addresses -----------------------------------------------------------------------
 _FLAT = r"(?:,? (?:piso|dpto\.?|depto\.?|departamento|int\.?|interior|oficina|of\.|apto\.?|apartamento|casa|bloque|andar|sala|puerta|esc\.)\s?(?:n\.?[º°]\s?)?\w+)*(?:, (?:urb\.|urbanizaci[oó]n|barrio|bairro|col\.)\s[^\W\d_]+)?"
 _STREET = re.compile(
@@ -239,7 +276,6 @@ _CUES = {
     "before": "sra.|sr.|srta.|sres.|dra.|dr.|lic.|ing.|mr|ms|miss |prof.|don |doña |dona |señor|senhor|nombre de|nome de|name of|lector|leitor|reader|paciente|patient|socio|socia|member"
     "|soy |sou |i am|i'm|this is|me llamo|name is|nombre es|nome é|firma|assinado|signed|contacto|contato|contact|remite|from:|autor|nombre:|nome:|name:|titular|atendid|seen by|attended|recibido por|entregado por"
     "|atentamente|regards|saludos|preguntar|pregunte|perguntar|procurar|ask for|falar com|tomo |exemplar |volume |ejemplar |livro |libro |pedido |carta |parcel |book |copy ",
-    "iban": "iban",
 }
 
 
@@ -261,6 +297,9 @@ def _cues():
 _DIGITS = re.compile(r"\d[\d .()\-]{4,}\d")
 _SHAPE = re.compile(r"[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|\d{2}([ .])\d{3}\1\d{3}|\d{4}-\d{4}|\d{8,11}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{3}-\d{2}-\d{4}|\d{1,2}\.\d{3}\.\d{3}(?:-[\dkK])?|(?:\d{4}[ -]){3}\d{1,7}|\d{13,19}", re.I)
 
+#: Further shapes, known where the checksum fits.
+_CHECKED_SHAPE = re.compile(r"\d{2}\.\d{3}\.\d{3}-?[A-Z]|\d{9}-\d{2}|\d{4}[ -]\d{6}[ -]\d{4,5}|(?:\d{4}[ -]){4}\d{1,3}", re.I)
+
 
 def _email_at(text: str, a: int, b: int) -> Span | None:
     """The address around the sign text[a:b]."""
@@ -286,8 +325,13 @@ def _number(text: str, m: re.Match) -> Span | None:
     if not 7 <= n <= 19:
         return None
     before = text[max(0, m.start() - 44) : m.start()]
-    bad = 0.6 if _NOT_ID.search(before) else 0
-    ids = (0.6 if _ID_WORD.search(before) else 0) + (0.35 if identity_checksum(s) else 0) + (0.2 if _SHAPE.fullmatch(s) else -0.5) - bad
+    label, other = _ID_WORD.search(before), _NOT_ID.search(before)
+    bad = 0.6 if other else 0
+    # a checksum confirms a known shape, or a label; next to a word for other numbers only a label nearer than it
+    fits = identity_checksum(s) if label else _confirmed(s)
+    fits = fits and (not other or bool(label and label.start() > other.start()))
+    known = _SHAPE.fullmatch(s) or (fits and _CHECKED_SHAPE.fullmatch(s))
+    ids = (0.6 if label else 0) + (0.5 if fits else 0) + (0.2 if known else 0 if fits else -0.5) - (0 if label and fits else bad)
     tel = (0.6 if _PHONE_WORD.search(before) else 0) + (0.5 if s[0] == "+" else 0) + (0.2 if n <= 15 and not s[-1].isalpha() else -0.6) - bad
     if max(ids, tel) < 0.7:
         return None
@@ -373,8 +417,7 @@ def _find(text: str) -> list[Span]:
             elif kind == "english":
                 lo = max(0, a - 60)
                 out.update(Span(m.start(), m.end(), "address", 0.85) for m in _ENGLISH.finditer(text, lo, b + 30) if m.start() < a < m.end())
-            elif kind == "iban":
-                out.update(Span(m.start(), m.end(), "id_number", 1.0) for m in _IBAN.finditer(text, a, b + 60) if iban_valid(m.group()))
+    out.update(_ibans(text))
     for d in _DIGITS.finditer(text):
         for m in _NUMBER.finditer(text, max(0, d.start() - 3), min(len(text), d.end() + 3)):
             s = _number(text, m)

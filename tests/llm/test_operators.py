@@ -376,6 +376,28 @@ def test_checksums():
     assert [text[s.start : s.end] for s in pii.find_spans(text)] == ["ES91 2100 0418 4502 0005 1332"]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Lo anotado fue 529.982.247-25 y nada más", ["529.982.247-25"]),
+        ("Lo anotado fue 529.982.247-26 y nada más", []),
+        ("pagó con 4111 1111 1111 1111 ayer", ["4111 1111 1111 1111"]),
+        ("pagó con 4111 1111 1111 1112 ayer", []),
+        ("pagó con 3782 822463 10005 ayer", ["3782 822463 10005"]),
+        ("entró 12345678Z, salió X-1234567-L, no 12345678A", ["12345678Z", "X-1234567-L"]),
+        ("DNI 12.345.678-Z", ["12.345.678-Z"]),
+        ("CPF 529982247-25, mas CPF 529982247-26", ["529982247-25"]),
+        ("El código de barras 4111111111111111, lote 12345678Z y 1700000000004 de reloj", []),
+        ("Abonar en ES91 2100 0418 4502 0005 1332 PARA Ana", ["ES91 2100 0418 4502 0005 1332"]),
+        ("AB12 3456 7890 NO93 8601 1117 947 GB82WEST12345698765432", ["NO93 8601 1117 947", "GB82WEST12345698765432"]),
+        ("Abonar en ES92 2100 0418 4502 0005 1332", []),
+    ],
+)
+def test_checksums_decide_on_numbers_without_a_label(text, want):
+    assert [text[s.start : s.end] for s in pii.find_spans(text) if s.kind == "id_number"] == want
+    assert [s for s in pii.find_spans("Tel. 52998224725") if s.kind == "phone"]
+
+
 def test_redaction_keeps_the_rest(spark):
     rows = [(1, "Firmado: Ana Paz Sol.\nTel. 555 01 33, fin"), (2, None), (3, ""), (4, "İ nada " * 2000 + "a@b.example")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kind", F.lit(1))
