@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 from sparkdex.llm.terms import fold
 
+#: Repetitions: the fewest that keep 0.99 of the passages repeated to the least share with one word in eight edited
+#: (tests/llm/test_operators.py draws such passages and compares with aligning every pair).
+REPEATS = 8
+
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]{0,80}>|&[a-zA-Z]{2,6};|&#\d{1,5};")
 _HYPHEN = regex.compile(r"[-­‐]\s*\n\s*")
 _MOJIBAKE = regex.compile(r"[Â-Å][\u0080-¿Œ-Ÿˆ-™]")
@@ -85,7 +89,7 @@ class LeakIndex:
     prefixes: list[list[np.ndarray]]
 
     @classmethod
-    def build(cls, ids: list, passages: list[str | None], window: int = 9, repeats: int = 4, samples: int = 6, seed: int = 11) -> LeakIndex:
+    def build(cls, ids: list, passages: list[str | None], window: int = 9, repeats: int = REPEATS, samples: int = 6, seed: int = 11) -> LeakIndex:
         words = [passage_words(p) for p in passages]
         vocabulary: dict[str, int] = {}
         for w in words:
@@ -117,9 +121,9 @@ class LeakIndex:
             self.prefixes.append(tables)
         return self
 
-    def part(self, doc: np.ndarray, item: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """An item and the part of a document it may be repeated in."""
-        reach = len(self.items[item]) + 10
+    def part(self, doc: np.ndarray, item: int, lo: int, hi: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+        """An item and the part of a document it may be repeated in, where only one of two stretches is known."""
+        reach = len(self.items[item]) * 5 // 4 + slack
         return self.items[item], doc[max(0, lo - reach) : hi + reach]
 
     def _lay_out(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +143,10 @@ class LeakIndex:
         sampled, moves, partial, k = set(self.sampled[r].tolist()), self.moves[r], [], 0
         with np.errstate(over="ignore"):
             for t in range(self.steps):
-                sym = seq[at + np.minimum(off, self.window)]
-                sym = np.where(off < self.window, sym, 0)
+                if t < self.window:  # off is t at most
+                    sym = seq[at + off]
+                else:
+                    sym = np.where(off < self.window, seq[at + np.minimum(off, self.window)], 0)
                 if t in sampled:
                     key = (key ^ sym.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(29)
@@ -152,7 +158,7 @@ class LeakIndex:
                         at, off, key, sym = at[keep], off[keep], key[keep], sym[keep]
                     if k == len(sampled):
                         break
-                off = off + moves[t, sym]
+                off = off + moves[t].take(sym)
         return partial if tables is None else (at, key)
 
     def hits(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +200,7 @@ def _runs(*cols: np.ndarray) -> np.ndarray:
     return np.nonzero(new)[0]
 
 
-def regions(ix: LeakIndex, docs: list[np.ndarray], doc: np.ndarray, item: np.ndarray, off: np.ndarray, ipos: np.ndarray, slack: int, share: float, drift: int = 4, gap: int = 12, least: int = 9) -> np.ndarray:
+def regions(ix: LeakIndex, docs: list[np.ndarray], doc: np.ndarray, item: np.ndarray, off: np.ndarray, ipos: np.ndarray, slack: int, share: float, drift: int = 4, gap: int = 12, least: int = 8) -> np.ndarray:
     """(doc, item, from, to) parts of documents where met windows cover `share` of an item's words.
 
     Windows that meet by chance lie anywhere; those of a repeated stretch keep the offset
@@ -292,17 +298,18 @@ def align(parts: list[tuple[np.ndarray, np.ndarray]], stretch: int = 10, edit: i
     for i, (x, y) in enumerate(parts):
         a[i, : len(x)], b[i, : len(y)] = x, y
     # a cell holds score, matches of the first and of the second stretch (10 bits each)
-    unit, first, none = 1 << 20, 1 << 10, -(1 << 40)
+    kind = np.int32 if rows + edit * (width + 2) < 2000 else np.int64
+    unit, first, none = 1 << 20, 1 << 10, kind(-(1 << 30) if kind is np.int32 else -(1 << 40))
     cost = edit * unit
-    ramp = (np.arange(width + 1, dtype=np.int64) * cost)[None]
-    one = np.zeros((n, width + 1), dtype=np.int64)
-    two = np.full((n, width + 1), none, dtype=np.int64)
-    ended = np.full((n, width + 1), none, dtype=np.int64)  # best first stretch that ended in a column so far
+    ramp = (np.arange(width + 1, dtype=kind) * cost)[None]
+    one = np.zeros((n, width + 1), dtype=kind)
+    two = np.full((n, width + 1), none, dtype=kind)
+    ended = np.full((n, width + 1), none, dtype=kind)  # best first stretch that ended in a column so far
     best = np.zeros(n, dtype=np.int64)
 
     def step(h: np.ndarray, eq: np.ndarray, gain: int, floor: np.ndarray | int) -> np.ndarray:
         diag = np.full_like(h, none)
-        diag[:, 1:] = h[:, :-1] + np.where(eq, gain, -cost)
+        diag[:, 1:] = h[:, :-1] + np.where(eq, kind(gain), kind(-cost))
         new = np.maximum(np.maximum(diag, h - cost), floor)
         return np.maximum.accumulate(new + ramp, axis=1) - ramp
 
@@ -318,6 +325,31 @@ def align(parts: list[tuple[np.ndarray, np.ndarray]], stretch: int = 10, edit: i
     return best
 
 
+def longest(parts: list[tuple[np.ndarray, np.ndarray]], edit: int = 2) -> np.ndarray:
+    """Item words matched in the longest single stretch of each part: `align` without a second stretch, at a fraction of its cost."""
+    n = len(parts)
+    rows, width = max(len(a) for a, _ in parts), max(len(b) for _, b in parts)
+    a = np.full((rows, n), -1, dtype=np.int32)
+    b = np.full((width, n), -2, dtype=np.int32)
+    for i, (x, y) in enumerate(parts):
+        a[: len(x), i], b[: len(y), i] = x, y
+    a[a == 0] = -1
+    # a cell holds score and matches (10 bits); parts lie side by side, so that running maxima are taken on whole rows
+    cost, gain = edit << 10, (1 << 10) + 1
+    ramp = (np.arange(width + 1, dtype=np.int32) * cost)[:, None]
+    h, best = np.zeros((width + 1, n), dtype=np.int32), np.zeros((width + 1, n), dtype=np.int32)
+    for row in a:
+        new = h - cost
+        np.maximum(new[1:], h[:-1] + np.where(b == row, np.int32(gain), np.int32(-cost)), out=new[1:])
+        np.maximum(new, 0, out=new)
+        new += ramp
+        np.maximum.accumulate(new, axis=0, out=new)
+        new -= ramp
+        h = new
+        np.maximum(best, h & 1023, out=best)
+    return best.max(0)
+
+
 def _window_max(v: np.ndarray, reach: int) -> np.ndarray:
     """Highest value of the last `reach` + 1 columns, by doubling."""
     out, have = v, 1
@@ -336,10 +368,10 @@ def find_leaks(
     least: int = 18,
     edits: int = 8,
     window: int = 9,
-    repeats: int = 4,
+    repeats: int = REPEATS,
     samples: int = 6,
     slack: int = 90,
-    cover: float = 0.22,
+    cover: float = 0.15,
     block_words: int = 200_000,
 ) -> DataFrame:
     """(doc_id, item_id, matched, item_words) for documents that repeat an item's passage.
@@ -380,11 +412,17 @@ def find_leaks(
                     reg = regions(ix, docs, *ix.hits(docs), slack, cover)
                     reg = reg[np.argsort(reg[:, 3] - reg[:, 2], kind="stable")]  # parts of like size are aligned together
                     got = []
+                    size = np.array([len(x) for x in ix.items])
+                    need = np.maximum(least, share * size) * (1 - 1 / edits)
+                    # of two stretches one has half of the words
+                    long = [longest([ix.part(docs[d], i, lo, hi, slack) for d, i, lo, hi in reg[t : t + 64]]) for t in range(0, len(reg), 64)]
+                    if long:
+                        reg = reg[np.concatenate(long) >= need[reg[:, 1]] / 2]
                     for t in range(0, len(reg), 64):
                         chunk = reg[t : t + 64]
-                        m = align([ix.part(docs[d], i, lo, hi) for d, i, lo, hi in chunk], most_gap=slack)
-                        n = np.array([len(ix.items[i]) for i in chunk[:, 1]])
-                        ok = np.nonzero(m >= np.maximum(least, share * n) * (1 - 1 / edits))[0]
+                        m = align([ix.part(docs[d], i, lo, hi, slack) for d, i, lo, hi in chunk], most_gap=slack)
+                        n = size[chunk[:, 1]]
+                        ok = np.nonzero(m >= need[chunk[:, 1]])[0]
                         got += [(chunk[k, 0], chunk[k, 1], m[k], n[k]) for k in ok]
                     best: dict[tuple, tuple] = {}
                     for d, i, m, n in got:

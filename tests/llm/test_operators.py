@@ -326,6 +326,50 @@ def test_leaks_are_found(spark):
     assert leakage.find_leaks(d.limit(0), i).count() == 0 and leakage.find_leaks(d, i.limit(0)).count() == 0
 
 
+def _edited(rng, x, extra):
+    """About one word in eight missing, replaced or added."""
+    out = []
+    for w in x:
+        out += [[], [extra], [w, extra]][rng.randrange(3)] if rng.random() < 1 / 8 else [w]
+    return out
+
+
+def _least_repeats(seed, n):
+    """Items, and documents that repeat one to the least share, edited, half of them in two stretches."""
+    rng = random.Random(seed)
+    items, docs = [], []
+    for i in range(n):
+        x = [f"v{rng.randrange(40_000)}" if rng.random() < 0.75 else rng.choice(["de", "la", "el", "en", "que", "y"]) for _ in range(rng.randrange(45, 128))]
+        k = max(20, math.ceil(0.4 * len(x)))
+        s, other = rng.randrange(len(x) - k + 1), lambda m: [f"u{rng.randrange(9000)}" for _ in range(m)]
+        if i % 2:
+            a, g = rng.randrange(10, k - 9), rng.randrange(len(x) - k - s + 1)
+            part = _edited(rng, x[s : s + a], "zz") + other(rng.randrange(5, 80)) + _edited(rng, x[s + a + g : s + k + g], "zz")
+        else:
+            part = _edited(rng, x[s : s + k], "zz")
+        items.append(x)
+        docs.append(other(100) + part + other(100))
+    return items, docs
+
+
+def test_leaks_against_aligning_every_pair(spark):
+    items, docs = _least_repeats(5, 400)
+    number: dict[str, int] = {}
+    ids = [[np.array([number.setdefault(w, len(number) + 1) for w in x], np.int32) for x in y] for y in (items, docs)]
+    got = {(r.doc_id, r.item_id, r.matched) for r in leakage.find_leaks(
+        spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id bigint, text string"),
+        spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, passage string")).collect()}
+    need = [max(18, 0.4 * len(x)) * 7 / 8 for x in items]
+    # pairs whose words in common, in whatever order, are too few need no alignment
+    bags = [Counter(x) for x in items]
+    sets = [set(b) for b in docs]
+    pairs = [(d, i) for d, b in enumerate(sets) for i, a in enumerate(bags) if sum(c for w, c in a.items() if w in b) >= need[i]]
+    full = [leakage.align([(ids[0][i], ids[1][d]) for d, i in pairs[k : k + 64]], stretch=10) for k in range(0, len(pairs), 64)]
+    want = {(d, i, int(m)) for (d, i), m in zip(pairs, np.concatenate(full)) if m >= need[i]}
+    print(len(pairs), len(want), len(got & want) / len(want))
+    assert len(want) > 200 and len(got & want) >= 0.99 * len(want) and got <= want
+
+
 def test_alignment_counts_words_in_order():
     a = np.arange(1, 41)
     b = np.concatenate([np.full(20, 99), a[:15], np.full(30, 98), a[20:34], np.full(10, 97)])
