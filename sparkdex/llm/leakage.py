@@ -9,6 +9,7 @@ verified by an exact alignment of the item with that part of the document.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -378,11 +379,13 @@ def find_leaks(
 
     documents: doc_id, text; items: item_id, passage. A document repeats a passage when at
     least `share` and `least` of its words come in order, in one stretch or two that are at
-    most `slack` words apart, each of ten words or more. Case, accents, punctuation, spacing,
+    most `slack` words apart, each of ten words or more; one word in `edits` may be missing, replaced or
+    added, in a stretch of ten too. Case, accents, punctuation, spacing,
     line-break hyphens and markup do not matter. Null and empty texts and passages match
     nothing. Items are taken in blocks of about `block_words` words, each one pass over the
     documents without a shuffle; documents are read whole.
     """
+    stretch = math.ceil(10 * (1 - 1 / edits))  # matches of ten words, edited
     spark = documents.sparkSession
     rows = items.select("item_id", "passage").where(F.col("passage").isNotNull()).orderBy("item_id").toLocalIterator()
     blocks, cur, size = [], [], 0
@@ -420,7 +423,7 @@ def find_leaks(
                         reg = reg[np.concatenate(long) >= need[reg[:, 1]] / 2]
                     for t in range(0, len(reg), 64):
                         chunk = reg[t : t + 64]
-                        m = align([ix.part(docs[d], i, lo, hi, slack) for d, i, lo, hi in chunk], most_gap=slack)
+                        m = align([ix.part(docs[d], i, lo, hi, slack) for d, i, lo, hi in chunk], stretch, most_gap=slack)
                         n = size[chunk[:, 1]]
                         ok = np.nonzero(m >= need[chunk[:, 1]])[0]
                         got += [(chunk[k, 0], chunk[k, 1], m[k], n[k]) for k in ok]
