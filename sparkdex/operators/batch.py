@@ -6,53 +6,122 @@ their number. Keys and ranges are rows, so they may be as many as the table's.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkdex.common import session_of
+
+
+def key_column(keys: DataFrame, column: str, kind: T.DataType) -> DataFrame:
+    """The distinct keys of a one-column DataFrame, named and typed as the column they look up; null is none."""
+    return keys.select(F.col(keys.columns[0]).cast(kind).alias(column)).where(F.col(f"`{column}`").isNotNull()).distinct()
 
 
 def lookup_many(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The rows whose `column` equals a key of the one-column `keys`, each once. Null keys match nothing."""
-    k = keys.select(F.col(keys.columns[0]).cast(rows.schema[column].dataType).alias(column)).where(F.col(column).isNotNull()).distinct()
-    return rows.join(k, column, "left_semi")
+    return rows.join(key_column(keys, column, rows.schema[column].dataType), column, "left_semi")
+
+
+def _number_bounds(ranges: DataFrame, kind: T.DataType) -> DataFrame:
+    """(range_id, _lo, _hi) of ranges (range_id, low, high) in a column's own type, so that no bound is rounded.
+
+    Of fractional bounds on whole numbers the whole numbers inside count. Bounds beyond the
+    type's range take its first or last number.
+    """
+    if isinstance(kind, T.IntegralType):
+        low, high = (ranges.schema[c].dataType for c in ("low", "high"))
+        exact = isinstance(low, T.IntegralType) and isinstance(high, T.IntegralType)
+        if exact:
+            lo, hi = F.col("low").cast("bigint"), F.col("high").cast("bigint")
+        else:
+            wide = "decimal(38, 0)"
+            least, most = F.lit(-(2**63)).cast(wide), F.lit(2**63 - 1).cast(wide)
+            part = lambda c, whole: F.when(c.cast("double") < -(2.0**63), least).when(c.cast("double") >= 2.0**63, most).otherwise(whole(c).cast(wide))
+            lo = part(F.col("low"), F.ceil)
+            hi = part(F.col("high"), F.floor)
+            known = ~F.isnan(F.col("low").cast("double")) & ~F.isnan(F.col("high").cast("double"))
+            lo, hi = F.when(known, lo).cast("bigint"), F.when(known, hi).cast("bigint")
+    elif isinstance(kind, T.DecimalType):
+        if any(isinstance(ranges.schema[c].dataType, (T.DoubleType, T.FloatType)) for c in ("low", "high")):
+            raise TypeError("ranges of a decimal column need decimal or whole bounds")
+        lo, hi = F.col("low"), F.col("high")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        lo, hi = F.col("low").cast("double"), F.col("high").cast("double")
+    else:
+        raise TypeError(f"ranges need a number column, not {kind.simpleString()}")
+    return ranges.select("range_id", lo.alias("_lo"), hi.alias("_hi")).where("_lo <= _hi")
 
 
 def ranges_many(rows: DataFrame, column: str, ranges: DataFrame, most_cells: int = 64) -> DataFrame:
     """(range_id, row columns) for rows within low..high of ranges (range_id, low, high), ends included.
 
     The number axis is cut into cells as wide as the mean range, a range is repeated to
-    the cells it touches, and cell and row meet in an equi-join; the bounds decide. Ranges
-    over more than `most_cells` cells are joined on cells that many times wider, so a few
-    wide ranges do not multiply. Empty and null ranges match nothing.
+    the cells it touches, and cell and row meet in an equi-join; the bounds, in the
+    column's own type, decide. The cell of a number never falls as the number rises, rounding included,
+    so no row of a range is missed. Ranges over more than `most_cells` cells are joined on
+    cells that many times wider, level by level, so wide ranges do not multiply. Empty and
+    null ranges and null values match nothing. TypeError for columns that are no numbers.
     """
-    r = ranges.select("range_id", F.col("low").cast("double").alias("_lo"), F.col("high").cast("double").alias("_hi")).where("_lo <= _hi")
-    mean = r.agg(F.avg(F.col("_hi") - F.col("_lo"))).first()[0]
-    width = mean if mean and mean > 0 else 1.0
-    value = F.col(column).cast("double")
+    session_of(rows)
+    kind = rows.schema[column].dataType
+    r = _number_bounds(ranges, kind)
+    span = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+    mean, widest = r.agg(F.avg(span), F.max(span)).first()
+    if widest is not None and not math.isfinite(widest):  # open ranges end where the column does
+        least, most = rows.agg(F.min(F.col(f"`{column}`").cast("double")), F.max(F.when(~F.isnan(F.col(f"`{column}`").cast("double")), F.col(f"`{column}`").cast("double")))).first()
+        r = r.select("range_id", F.greatest("_lo", F.lit(least)).alias("_lo"), F.least("_hi", F.lit(most)).alias("_hi")).where("_lo <= _hi")
+        mean, widest = r.agg(F.avg(span), F.max(span)).first()
+    width = mean if mean and mean > 0 and math.isfinite(mean) else 1.0
+    value = F.col(f"`{column}`").cast("double") if isinstance(kind, T.FloatType) else F.col(f"`{column}`")
+    place = F.col(f"`{column}`").cast("double")
+    levels, top = [width], width * most_cells
+    while widest is not None and math.isfinite(widest) and widest > top and len(levels) < 16:
+        levels.append(top)
+        top *= most_cells
     out = None
-    levels = [(width, None)] if r.where(F.col("_hi") - F.col("_lo") > width * most_cells).limit(1).count() == 0 else [(width, False), (width * most_cells, True)]
-    for w, wide in levels:
-        part = r if wide is None else r.where((F.col("_hi") - F.col("_lo") > width * most_cells) == F.lit(wide))
-        cells = part.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / w), F.floor(F.col("_hi") / w))))
-        met = rows.withColumn("_cell", F.floor(value / w)).join(cells, "_cell").where((value >= F.col("_lo")) & (value <= F.col("_hi")))
+    for i, w in enumerate(levels):
+        part = r
+        if i > 0:
+            part = part.where(span > w)
+        if i + 1 < len(levels):
+            part = part.where(span <= levels[i + 1])
+        cells = part.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo").cast("double") / w), F.floor(F.col("_hi").cast("double") / w))))
+        met = rows.withColumn("_cell", F.floor(place / w)).join(cells, "_cell").where((value >= F.col("_lo")) & (value <= F.col("_hi")))
         met = met.select("range_id", *[F.col(f"`{c}`") for c in rows.columns])
         out = met if out is None else out.unionByName(met)
     return out
 
 
-def radius_many(rows: DataFrame, columns: Sequence[str], centers: DataFrame, radius: float) -> DataFrame:
+def radius_many(rows: DataFrame, columns: Sequence[str], centers: DataFrame, radius: float, hot_rows: int = 2_000, hot_share: int = 10_000) -> DataFrame:
     """(center_id, row columns) for rows at most `radius` from centers (center_id, x, y).
 
     `columns` are two number columns. Cells as wide as the radius: a centre is repeated to
-    the nine cells around its own.
+    the nine cells around its own. Cells above max(hot_rows, rows / hot_share) rows, of
+    which there are fewer than hot_share, are spread over as many parts as they hold limits,
+    and their centres repeated to each. Null and NaN coordinates are within no distance.
     """
     if radius <= 0:
         raise ValueError("radius must be positive")
-    px, py = (F.col(c).cast("double") for c in columns)
+    session_of(rows)
+    px, py = (F.col(f"`{c}`").cast("double") for c in columns)
+    known = px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py)
+    placed = rows.where(known).withColumns({"_cx": F.floor(px / radius), "_cy": F.floor(py / radius)})
+    sizes = placed.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(hot_rows, (total or 0) // hot_share)
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     c = centers.select("center_id", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).withColumn("_d", F.explode(near))
     c = c.select("center_id", "_x", "_y", (F.floor(F.col("_x") / radius) + F.col("_d.i")).alias("_cx"), (F.floor(F.col("_y") / radius) + F.col("_d.j")).alias("_cy"))
+    on = ["_cx", "_cy"]
+    if (most or 0) > limit:
+        hot = F.broadcast(sizes.where(F.col("_n") > limit).select("_cx", "_cy", F.ceil(F.col("_n") / limit).cast("int").alias("_s")))
+        placed = placed.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{x}`") for x in rows.columns]), F.coalesce("_s", F.lit(1))).cast("int")).drop("_s")
+        c = c.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))).drop("_s")
+        on = [*on, "_salt"]
     d2 = (px - F.col("_x")) * (px - F.col("_x")) + (py - F.col("_y")) * (py - F.col("_y"))
-    met = rows.withColumns({"_cx": F.floor(px / radius), "_cy": F.floor(py / radius)}).join(c, ["_cx", "_cy"]).where(d2 <= radius * radius)
+    met = placed.join(c, on).where(d2 <= radius * radius)
     return met.select("center_id", *[F.col(f"`{x}`") for x in rows.columns])

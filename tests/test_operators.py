@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkdex.functions.types import RID
@@ -149,3 +150,31 @@ def test_hash_base(spark, tmp_path):
     assert get("fig") == [] and get("grape") == [700]
     with raises(NotImplementedError):
         b.range_search("a", "b")
+
+
+def test_ranges_are_compared_in_the_columns_own_type(spark):
+    from sparkdex.operators.batch import ranges_many
+
+    big = 2**53
+    rows = spark.createDataFrame([(big,), (big + 1,), (big + 2,), (None,), (-(2**63),), (2**63 - 1,), (5,)], "v bigint")
+    one = lambda lo, hi, t="bigint": sorted(r.v for r in ranges_many(rows, "v", spark.createDataFrame([(1, lo, hi)], f"range_id int, low {t}, high {t}")).collect())
+    assert one(big + 1, big + 1) == [big + 1]
+    assert one(-(2**63), 2**63 - 1) == sorted([big, big + 1, big + 2, -(2**63), 2**63 - 1, 5])
+    assert one(4.5, 5.5, "double") == [5] and one(float("-inf"), 5.0, "double") == [-(2**63), 5] and one(float("nan"), 5.0, "double") == []
+    mixed = spark.createDataFrame([(i, lo, hi) for i, (lo, hi) in enumerate([(0, 10), (1, 1), (0, 2**40), (3, 2)])], "range_id int, low bigint, high bigint")
+    got = sorted((r.range_id, r.v) for r in ranges_many(spark.range(0, 8).withColumnRenamed("id", "v"), "v", mixed).collect())
+    assert got == sorted([(0, v) for v in range(8)] + [(1, 1)] + [(2, v) for v in range(8)])
+    with pytest.raises(TypeError):
+        ranges_many(spark.createDataFrame([("a",)], "v string"), "v", mixed)
+    f = spark.createDataFrame([(0.5,), (float("nan"),), (-0.5,)], "v double")
+    assert [r.v for r in ranges_many(f, "v", spark.createDataFrame([(1, 0.0, float("inf"))], "range_id int, low double, high double")).collect()] == [0.5]
+
+
+def test_radius_search_splits_crowded_cells(spark):
+    from sparkdex.operators.batch import radius_many
+
+    pts = spark.createDataFrame([(i, (i % 7) / 10, (i % 5) / 10) for i in range(300)] + [(900, None, 0.0), (901, float("nan"), 0.0)], "id int, x double, y double")
+    centers = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.6, 0.4), (3, None, 1.0)], "center_id int, x double, y double")
+    want = sorted((c, i) for c, cx, cy in ((1, 0, 0), (2, 0.6, 0.4)) for i in range(300) if ((i % 7) / 10 - cx) ** 2 + ((i % 5) / 10 - cy) ** 2 <= 0.09)
+    for hot in (10, 10_000):
+        assert sorted((r.center_id, r.id) for r in radius_many(pts, ["x", "y"], centers, 0.3, hot_rows=hot).collect()) == want
