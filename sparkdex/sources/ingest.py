@@ -13,12 +13,18 @@ INT_CELL, FLOAT_CELL, DATE_CELL = r"^-?\d+$", r"^-?\d+(?:\.\d+)?$", r"^\d{4}-\d{
 LONGEST = 255
 
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a cell of the file may span lines: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
+
+
 def read_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Every cell as text. Quotes double inside quotes, cells may span lines, a byte-order
     mark is dropped, blank lines are skipped, short rows have nulls; unnamed columns are
-    col0, col1, ..."""
+    col0, col1, ... Files are split among tasks unless a quoted cell spans lines."""
     d = (
-        spark.read.option("header", header).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"')
+        spark.read.option("header", header).option("inferSchema", False).option("multiLine", spans_lines(spark, path)).option("quote", '"').option("escape", '"')
         .option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("emptyValue", "").csv(path)
     )
     if not header:
@@ -33,8 +39,8 @@ def read_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     return d.where(~blank)
 
 
-def infer_types(cells: DataFrame, sample_rows: int = 50_000) -> list[tuple[str, ColumnType]]:
-    """A type per column from the first `sample_rows` rows, in one aggregation.
+def infer_types(cells: DataFrame, sample_rows: int | None = None) -> list[tuple[str, ColumnType]]:
+    """A type per column from all rows, in one aggregation, or from the first `sample_rows` alone.
 
     All cells integers: INT (LONG beyond 32 bits); integers and decimals: FLOAT; anything
     else, an empty or missing cell included: VARCHAR of the longest value in bytes, at
@@ -48,7 +54,7 @@ def infer_types(cells: DataFrame, sample_rows: int = 50_000) -> list[tuple[str,
             F.coalesce(F.bool_and(v.rlike(INT_CELL)), F.lit(False)).alias(f"i{i}"), F.coalesce(F.bool_and(v.rlike(FLOAT_CELL)), F.lit(False)).alias(f"f{i}"),
             F.coalesce(F.max(F.octet_length(v)), F.lit(0)).alias(f"n{i}"), F.min(as_long).alias(f"lo{i}"), F.max(as_long).alias(f"hi{i}"),
         ]
-    r = cells.limit(sample_rows).agg(*aggs).first()
+    r = (cells if sample_rows is None else cells.limit(sample_rows)).agg(*aggs).first()
     out = []
     for i, c in enumerate(cells.columns):
         if r[f"i{i}"] and INT32[0] <= r[f"lo{i}"] and r[f"hi{i}"] <= INT32[1]:
@@ -66,7 +72,7 @@ def infer_types(cells: DataFrame, sample_rows: int = 50_000) -> list[tuple[str,
 def cast_cells(cells: DataFrame, types: list[tuple[str, ColumnType]]) -> DataFrame:
     """The cells, by position, as columns of the given types.
 
-    Past the inference sample an empty cell of a number column is 0, and a text longer than
+    Past the rows the types came from an empty cell of a number column is 0, and a text longer than
     its column is cut by bytes; a number cell that is none fails the load.
     """
     cols = []
