@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,6 +33,13 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(to.toString())
 
 
+def session_of(df: DataFrame) -> SparkSession:
+    """The session of a DataFrame; every operator asks here, so its Python workers have the package."""
+    spark = df.sparkSession
+    ship_package(spark)
+    return spark
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of a data directory."""
     ship_package(spark)
@@ -41,13 +49,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made
-    and remembered in the session.
+    Where the setting is absent and all executors live in this process (tests, a laptop) a
+    temporary folder is made and remembered in the session; on a cluster that is an error,
+    since a folder of one machine would lose data with it.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not known:
         known = spark.conf.get("sparkdex.shared.dir", None)
     if not known:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors share (master {master})")
         known = "file://" + tempfile.mkdtemp(prefix="sparkdex-")
         spark.conf.set("sparkdex.shared.dir", known)
         atexit.register(_remove_local, known)
@@ -71,10 +83,10 @@ def materialize(df: DataFrame, label: str = "t") -> tuple[DataFrame, str]:
     """Write `df` as a table of the shared folder and read it back.
 
     This cuts the lineage at a place that outlives any executor; the table goes when the
-    application ends. Returns the read
-    DataFrame and its path, so that loops can drop what a later round replaces.
+    application ends. Returns the read DataFrame and its path, so that loops can drop what
+    a later round replaces.
     """
-    spark = df.sparkSession
+    spark = session_of(df)
     path = f"{shared_dir(spark)}/sparkdex/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
