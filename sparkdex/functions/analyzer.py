@@ -3,24 +3,31 @@
 from __future__ import annotations
 
 import unicodedata
+import zipfile
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import regex
+from pyspark import SparkContext
 
 from sparkdex.functions.spanish_stemmer import stem
 
 _RUNS = regex.compile(r"\p{L}+")
 _PEEL = regex.compile(r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$")
-#: Spanish function words without an index value of their own.
-SPANISH_STOP_WORDS = frozenset(
-    """de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando
-    muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí
-    antes algunos qué unos yo otro otras otra él tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo
-    nosotros mi mis tú te ti tu tus ellas nosotras vosotros vosotras os mío mía míos mías tuyo tuya tuyos tuyas suyo suya suyos suyas
-    nuestro nuestra nuestros nuestras vuestro vuestra vuestros vuestras esos esas es soy eres somos sois son sea seas fue fueron era
-    eran ser siendo sido estoy está estamos están esté estaba estaban he has ha hemos han haya había habían tengo tiene tenemos tienen
-    tenía tenían""".split()
-)
+
+
+@lru_cache(maxsize=8)
+def stop_words(language: str = "spanish") -> frozenset[str]:
+    """The stop-words of a language that Spark ships, as written there, accents included."""
+    sc = SparkContext._active_spark_context
+    if sc is not None:
+        return frozenset(sc._jvm.org.apache.spark.ml.feature.StopWordsRemover.loadDefaultStopWords(language))
+    from pyspark.find_spark_home import _find_spark_home
+
+    jar = next(Path(_find_spark_home(), "jars").glob("spark-mllib_*.jar"))
+    with zipfile.ZipFile(jar) as z:
+        return frozenset(z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8").split())
 
 
 def fold(text: str) -> str:
@@ -36,9 +43,14 @@ class Analyzer:
     """profile "simple": runs of letters. profile "spanish": blank-split tokens with outer
     punctuation peeled off, kept only if all letters (a token with a digit, hyphen or
     apostrophe inside vanishes), stop-words dropped, Spanish stems. Accents go before the
-    stop-word test, so accented stop-words stay."""
+    stop-word test, so accented stop-words stay. The stop-words travel with the analyzer."""
 
     profile: str = "spanish"
+    stops: frozenset[str] | None = None
+
+    def __post_init__(self) -> None:
+        if self.stops is None:
+            object.__setattr__(self, "stops", frozenset() if self.profile == "simple" else stop_words(self.profile))
 
     def terms(self, text: str | None) -> list[str]:
         if not text:
@@ -47,4 +59,4 @@ class Analyzer:
         if self.profile == "simple":
             return _RUNS.findall(folded)
         tokens = (_PEEL.sub("", t) for t in folded.split())
-        return [stem(t) for t in tokens if t.isalpha() and t not in SPANISH_STOP_WORDS]
+        return [stem(t) for t in tokens if t.isalpha() and t not in self.stops]

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkdex.common import session_of
+
 
 def train_codebook(descriptors: DataFrame, k: int, sample_rows: int = 500_000, seed: int = 42) -> np.ndarray:
     """k centres fitted by Spark's k-means on at most about `sample_rows` descriptors (obj_id, descriptor).
@@ -24,8 +26,11 @@ def train_codebook(descriptors: DataFrame, k: int, sample_rows: int = 500_000, s
         return np.zeros((1, 1))
     if n > sample_rows:
         d = d.where(F.pmod(F.xxhash64("descriptor"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    model = KMeans(k=max(2, k), seed=seed, maxIter=20).fit(d.select(array_to_vector(F.col("descriptor").cast("array<double>")).alias("features")))
-    return np.array(model.clusterCenters())[: max(1, k)]
+    if k == 1:  # k-means begins at two centres; one is the mean
+        cells = d.select(F.posexplode(F.col("descriptor").cast("array<double>")).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"))
+        return np.array([[r["m"] for r in cells.orderBy("i").collect()]])  # as many rows as a descriptor has numbers
+    model = KMeans(k=k, seed=seed, maxIter=20).fit(d.select(array_to_vector(F.col("descriptor").cast("array<double>")).alias("features")))
+    return np.array(model.clusterCenters())
 
 
 def quantize(descriptors: DataFrame, codebook: np.ndarray) -> DataFrame:
@@ -34,7 +39,7 @@ def quantize(descriptors: DataFrame, codebook: np.ndarray) -> DataFrame:
     The codebook is broadcast: k centres of the descriptor's length. Null descriptors and
     those of another length have no word.
     """
-    bc = descriptors.sparkSession.sparkContext.broadcast(np.asarray(codebook, dtype=np.float64))
+    bc = session_of(descriptors).sparkContext.broadcast(np.asarray(codebook, dtype=np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = bc.value

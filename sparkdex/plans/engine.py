@@ -29,8 +29,13 @@ from sparkdex.sources.catalog import Catalog, CatalogError, IndexSpec, TableEntr
 
 DEFAULT_LIMIT = 100
 ORDERED = ("BTREE", "ISAM", "SEQ")
-#: Parts after which appended rows are merged into one, and the indexes rebuilt.
-MERGE_PARTS = 10
+LAYOUTS = (*ORDERED, "EHASH", "RTREE")
+#: Appended parts of like size that are merged into one, so their number grows with the logarithm of the rows.
+MERGE_PARTS = 8
+#: Rows beside an index that are scanned rather than indexed, however small the table.
+FRESH_ROWS = 10_000
+#: Words of a media query where nothing names their number.
+DEFAULT_K = 20
 
 
 class EngineError(ValueError):
@@ -130,8 +135,12 @@ class Engine:
         """All rows as a DataFrame, without record ids."""
         return storage.scan(self.spark, self.catalog.load(name)).drop(RID)
 
-    def load_csv(self, name: str, path: str, header: bool = True, create: bool = False) -> int:
-        """Load a CSV file; a new table gets inferred types, an existing one keeps its own."""
+    def load_csv(self, name: str, path: str, header: bool = True, create: bool = False, first_rows: int | None = None) -> int:
+        """Load a CSV file; a new table gets inferred types, an existing one keeps its own.
+
+        Types come from the whole file, or from its first `first_rows` rows alone: longer texts
+        after those are cut, and a cell that is no number fails the load.
+        """
         exists = self.catalog.exists(name)
         if exists and create:
             raise CatalogError(f"table {name!r} exists")
@@ -142,12 +151,9 @@ class Engine:
             if len(types) != len(cells.columns):
                 raise SchemaError(f"{name} has {len(types)} columns, the file {len(cells.columns)}")
         else:
-            types = ingest.infer_types(cells)
+            types = ingest.infer_types(cells, first_rows)
             entry = TableEntry(name, [[c, t.name, t.length] for c, t in types])
-        n = storage.append(self.catalog, entry, ingest.cast_cells(cells, types))
-        self._rebuild(entry)
-        self.catalog.save(entry)
-        return n
+        return self._appended(entry, storage.append(self.catalog, entry, ingest.cast_cells(cells, types)))
 
     def load_csv_bytes(self, name: str, data: bytes, header: bool = True) -> int:
         """load_csv of a file's content, through a file of the warehouse."""
@@ -167,39 +173,67 @@ class Engine:
         storage.insert_rows(self.catalog, entry, rows)
         return self._appended(entry, len(rows))
 
-    def insert_frame(self, name: str, frame: DataFrame, batch: int | None = None) -> int:
+    def insert_frame(self, name: str, frame: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Append the rows of a DataFrame that has the table's columns.
 
-        A numbered batch is appended once: its number is saved with its rows.
+        A batch (stream id, number) is appended once: the last number of each stream is saved with its rows.
         """
         entry = self._own(name)
         if batch is not None:
-            if entry.stream_batch >= batch:
+            stream, number = batch
+            if entry.streams.get(stream, -1) >= number:
                 return 0
-            entry.stream_batch = batch
+            entry.streams[stream] = number
         return self._appended(entry, storage.append(self.catalog, entry, frame))
 
     def _appended(self, entry: TableEntry, n: int) -> int:
-        if len(entry.parts) > MERGE_PARTS:
-            old = storage.replace(self.catalog, entry, storage.scan(self.spark, entry))
-            self._rebuild(entry)
-            self.catalog.save(entry)
-            self._forget(old)
-        else:
-            self.catalog.save(entry)
+        """Save the entry after an append, its small parts merged and indexes rebuilt where that is due.
+
+        Only parts no index covers are merged, and only with others of like size. An index is
+        rebuilt when the rows beside it are more than half of those it holds, so a row is
+        rewritten a number of times that grows with the logarithm of the table.
+        """
+        old: list[str] = []
+        low = max((i.covered for i in entry.indexes), default=0)
+        first, size = len(entry.parts) - 1, entry.sizes[-1]
+        while first > low and entry.sizes[first - 1] <= 2 * max(1, size):
+            first -= 1
+            size += entry.sizes[first]
+        if len(entry.parts) - first >= MERGE_PARTS:
+            old += storage.merge(self.catalog, entry, first)
+        for spec in [i for i in entry.indexes if i.kind in LAYOUTS]:
+            held = sum(entry.sizes[: spec.covered])
+            if sum(entry.sizes[spec.covered :]) > max(FRESH_ROWS, held // 2):
+                old += self._replace_index(entry, spec)
+        self.catalog.save(entry)
+        self._forget(old)
         return n
 
     def delete(self, name: str, where: ast.Eq) -> int:
-        """Remove the rows that match; the new version and its indexes appear at once."""
+        """Remove the rows that match.
+
+        Their record ids are marked as deleted, for the table and all its layouts at once;
+        nothing is rewritten until a fifth of the table is. Ranked indexes, whose weights
+        depend on every record, are rebuilt by their next query.
+        """
         entry = self._own(name)
-        condition = self._equals(entry, where)
-        rows = storage.scan(self.spark, entry)
-        n = rows.where(condition).count()
-        if n:
-            old = storage.replace(self.catalog, entry, rows.where(~F.coalesce(condition, F.lit(False))))
-            self._rebuild(entry)
-            self.catalog.save(entry)
-            self._forget(old)
+        rows, _ = self.access(entry, where)
+        n = storage.bury(self.catalog, entry, rows)
+        if not n:
+            return 0
+        old: list[str] = []
+        if entry.dead_rows * 5 > sum(entry.sizes):
+            old += storage.merge(self.catalog, entry)
+            for spec in entry.indexes:
+                old += self._replace_index(entry, spec)
+        else:
+            for spec in entry.indexes:
+                if spec.kind in ("FTS", "MM"):
+                    spec.covered = -1
+            if len(entry.dead) > MERGE_PARTS:
+                old += storage.merge_dead(self.catalog, entry)
+        self.catalog.save(entry)
+        self._forget(old)
         return n
 
     def _own(self, name: str) -> TableEntry:
@@ -223,7 +257,7 @@ class Engine:
         if len(columns) > 2 or (len(columns) == 2 and kind != "RTREE"):
             raise EngineError("only RTREE takes two columns")
         spec = IndexSpec(columns, kind)
-        old = entry.index(spec.key, *ORDERED, "EHASH", "RTREE")
+        old = entry.index(spec.key, *LAYOUTS)
         if old:  # one live index per column key
             entry.indexes.remove(old)
         self._build(entry, spec)
@@ -238,7 +272,7 @@ class Engine:
             entry.column(c)
         spec = IndexSpec(columns, "FTS", info={"profile": profile})
         entry.indexes = [i for i in entry.indexes if not (i.kind == "FTS" and i.key == spec.key)]
-        self._build(entry, spec)
+        self._build(entry, spec)  # its segments count the documents
         entry.indexes.append(spec)
         self.catalog.save(entry)
         return spec.info["n_docs"]
@@ -263,22 +297,32 @@ class Engine:
             raise CatalogError(f"no index on {table}({','.join(columns)})")
         entry.indexes = [i for i in entry.indexes if i not in gone]
         self.catalog.save(entry)
-        self._forget([i.path for i in gone if i.path])
+        self._forget([p for i in gone for p in (i.path, *[g["path"] for g in i.info.get("segments", [])]) if p])
 
-    def _rebuild(self, entry: TableEntry) -> None:
-        for spec in entry.indexes:
-            old = spec.path
-            self._build(entry, spec)
-            if old:
-                self._forget([old])
+    def _replace_index(self, entry: TableEntry, spec: IndexSpec) -> list[str]:
+        """Build an index anew; returns the files of the old one."""
+        old = [spec.path, *[g["path"] for g in spec.info.get("segments", [])]]
+        self._build(entry, spec)
+        return [p for p in old if p]
+
+    def _current(self, entry: TableEntry, spec: IndexSpec) -> None:
+        """Bring a ranked index up to its table: appended rows become a segment of their own."""
+        if spec.covered == len(entry.parts):
+            return
+        old: list[str] = []
+        if spec.covered < 0 or len(spec.info["segments"]) >= MERGE_PARTS:
+            old = self._replace_index(entry, spec)
+        else:
+            self._extend(entry, spec, entry.parts[spec.covered :])
+        self.catalog.save(entry)
+        self._forget(old)
 
-    def _documents(self, entry: TableEntry, columns: list[str]) -> DataFrame:
+    def _documents(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-        return storage.scan(self.spark, entry).select(F.col(RID).alias("doc_id"), text.alias("text"))
+        return rows.select(F.col(RID).alias("doc_id"), text.alias("text"))
 
     def _build(self, entry: TableEntry, spec: IndexSpec) -> None:
         spec.path = self.catalog.folder(entry.name, f"index-{spec.kind.lower()}")
-        spec.covered = len(entry.parts)
         rows = storage.scan(self.spark, entry)
         if spec.kind == "EHASH":
             spec.info = layouts.write_hash(rows, spec.columns[0], spec.path)
@@ -286,25 +330,42 @@ class Engine:
             spec.info = layouts.write_sorted(rows, spec.columns[0], spec.path)
         elif spec.kind == "RTREE":
             spec.info = layouts.write_grid(rows, spec.columns, spec.path)
-        elif spec.kind == "FTS":
-            ix = FtsIndex.build(self._documents(entry, spec.columns), spec.path, spec.info.get("profile", "spanish"))
-            spec.info = {"profile": ix.profile, "n_docs": ix.n_docs}
         else:
-            self._build_mm(rows, spec)
+            kept = {"FTS": ("profile",), "MM": ("k",)}[spec.kind]
+            spec.info = {k: spec.info[k] for k in kept} | {"segments": []}
+            self._extend(entry, spec, entry.parts)
+            spec.path = ""  # the files are the segments'
+        spec.covered = len(entry.parts)
 
-    def _build_mm(self, rows: DataFrame, spec: IndexSpec) -> None:
+    def _extend(self, entry: TableEntry, spec: IndexSpec, parts: Sequence[str]) -> None:
+        """Index the rows of some parts as one more segment of a ranked index."""
+        path = self.catalog.folder(entry.name, f"index-{spec.kind.lower()}")
+        rows = storage.scan(self.spark, entry, parts)
+        if spec.kind == "FTS":
+            segment = FtsIndex.write_segment(self._documents(rows, spec.columns), path, spec.info["profile"])
+        else:
+            segment = self._media_segment(rows, spec, path)
+        spec.info["segments"].append(segment)
+        for n in [c for c in segment if c.startswith("n_")]:
+            spec.info[n] = sum(g[n] for g in spec.info["segments"])
+        spec.covered = len(entry.parts)
+
+    def _media_segment(self, rows: DataFrame, spec: IndexSpec, path: str) -> dict:
+        """Descriptors and histograms of the rows' objects; the first segment's descriptors train the words."""
         paths = rows.select(F.col(RID).alias("obj_id"), F.col(spec.columns[0]).alias("path"))
-        modality = files.collection_modality(paths)
-        files.extract(paths, modality).write.parquet(f"{spec.path}/descriptors")
-        found = self.spark.read.schema("obj_id bigint, descriptor array<float>").parquet(f"{spec.path}/descriptors")
-        book = media.train_codebook(found, spec.info["k"])
-        hist = media.histograms(media.quantize(found, book))
-        hist.write.parquet(f"{spec.path}/histograms")
-        hist = self.spark.read.schema("obj_id bigint, word int, tf bigint").parquet(f"{spec.path}/histograms")
+        if "modality" not in spec.info:
+            spec.info["modality"] = files.collection_modality(paths)
+        modality = spec.info["modality"]
+        files.extract(paths, modality).write.parquet(f"{path}/descriptors")
+        found = self.spark.read.schema("obj_id bigint, descriptor array<float>").parquet(f"{path}/descriptors")
+        if "codebook" not in spec.info:
+            spec.info["codebook"] = media.train_codebook(found, spec.info["k"]).tolist()
+        media.histograms(media.quantize(found, np.array(spec.info["codebook"]))).write.parquet(f"{path}/histograms")
+        hist = self.spark.read.schema("obj_id bigint, word int, tf bigint").parquet(f"{path}/histograms")
         n_seq = hist.select("obj_id").distinct().count()
         # unreadable sounds count as empty histograms in an index's N, unreadable images do not
         n_index = found.select("obj_id").distinct().count() if modality == "audio" else n_seq
-        spec.info = {"k": spec.info["k"], "modality": modality, "codebook": book.tolist(), "n_index": n_index, "n_seq": n_seq}
+        return {"path": path, "n_index": n_index, "n_seq": n_seq}
 
     # --- queries -----------------------------------------------------------------------
 
@@ -330,6 +391,7 @@ class Engine:
         spec, served = self._served(entry, where)
         if served is None:
             return storage.scan(self.spark, entry).where(condition), None
+        served = storage.living(self.spark, entry, served)
         fresh = entry.parts[spec.covered :]
         if fresh:
             served = served.unionByName(storage.scan(self.spark, entry, fresh).where(condition))
@@ -387,39 +449,98 @@ class Engine:
         raise EngineError("a ranked predicate is no filter")
 
     def knn(self, table: str, columns: Sequence[str], point: tuple[float, float], k: int) -> QueryResult:
-        """The k rows nearest to a point: by squared distance, then insertion order."""
+        """The k rows nearest to a point: by squared distance, then insertion order.
+
+        With an RTREE over the columns, cells around the point are read in growing squares until
+        they hold k points; only those within that reach are ranked.
+        """
         entry = self.catalog.load(table)
+        x, y = map(float, point)
+        spec = entry.index(",".join(columns), "RTREE")
+        names = [n for n, _, _ in entry.columns]
+        used = None
         rows = storage.scan(self.spark, entry)
+        if spec is not None and spec.info["n"] >= k > 0:
+            fresh = entry.parts[spec.covered :]
+
+            def inside(x0: float, x1: float, y0: float, y1: float) -> DataFrame:
+                d = storage.living(self.spark, entry, layouts.read_grid_box(self.spark, storage.stored_schema(entry), spec.path, spec.info, x0, x1, y0, y1))
+                return d.unionByName(storage.scan(self.spark, entry, fresh)) if fresh else d
+
+            reach = layouts.reach_of_k(inside, lambda d: self._point(columns), spec.info["side"], x, y, k)
+            if reach is not None:
+                rows, used = inside(x - reach, x + reach, y - reach, y + reach), {"column": spec.key, "type": spec.kind}
+        px, py = self._point(columns)
+        d2 = (px - x) * (px - x) + (py - y) * (py - y)
+        near = rows.withColumn("d2", d2).where(F.col("d2").isNotNull()).orderBy("d2", RID).limit(k)
+        return QueryResult(frame=near.select(*[F.col(f"`{n}`") for n in names], "d2"), columns=[*names, "d2"], used_index=used)
+
+    def _point(self, columns: Sequence[str]) -> tuple[Column, Column]:
         if len(columns) == 1:
             p = parse_point(F.col(columns[0]))
-            x, y = p["x"], p["y"]
-        else:
-            x, y = (F.col(c).cast("double") for c in columns)
-        d2 = (x - point[0]) * (x - point[0]) + (y - point[1]) * (y - point[1])
-        near = rows.withColumn("d2", d2).where(F.col("d2").isNotNull()).orderBy("d2", RID).limit(k)
-        names = [n for n, _, _ in entry.columns]
-        return QueryResult(frame=near.select(*names, "d2"), columns=[*names, "d2"])
+            return p["x"], p["y"]
+        return F.col(columns[0]).cast("double"), F.col(columns[1]).cast("double")
+
+    def _with_fresh(self, entry: TableEntry, spec: IndexSpec, served: DataFrame) -> DataFrame:
+        """Living rows of an index's layout together with those appended since."""
+        served = storage.living(self.spark, entry, served)
+        fresh = entry.parts[spec.covered :]
+        return served.unionByName(storage.scan(self.spark, entry, fresh)) if fresh else served
 
     def probe_many(self, table: str, column: str, keys: DataFrame) -> DataFrame:
-        """Every (key, row) of the table's rows that equal a key: many look-ups in one join."""
+        """Every row of the table that equals one of the keys: many look-ups in one join.
+
+        An index serves it: of a hash the buckets the keys fall in are read, of an ordered one
+        the files between the least and the greatest key.
+        """
         entry = self.catalog.load(table)
         entry.column(column)
-        return batch.lookup_many(storage.scan(self.spark, entry).drop(RID), column, keys)
+        spec = entry.index(column, *ORDERED, "EHASH")
+        schema = storage.stored_schema(entry)
+        if spec is None:
+            return batch.lookup_many(storage.scan(self.spark, entry).drop(RID), column, keys)
+        wanted = batch.key_column(keys, column, schema[column].dataType)
+        if spec.kind == "EHASH":
+            served = layouts.read_hash_many(self.spark, schema, spec.path, spec.info, column, wanted)
+        else:
+            least, most = wanted.agg(F.min(column), F.max(column)).first()
+            served = layouts.read_sorted(self.spark, schema, spec.path).where(F.col(column).between(F.lit(least), F.lit(most)))
+        return batch.lookup_many(self._with_fresh(entry, spec, served).drop(RID), column, wanted)
 
     def ranges_many(self, table: str, column: str, ranges: DataFrame) -> DataFrame:
-        """Every (range_id, row) within ranges (range_id, low, high): many range scans in one join."""
+        """Every (range_id, row) within ranges (range_id, low, high): many range scans in one join.
+
+        An ordered index serves it: the files between the lowest and the highest bound are read.
+        """
         entry = self.catalog.load(table)
         entry.column(column)
-        return batch.ranges_many(storage.scan(self.spark, entry).drop(RID), column, ranges)
+        spec = entry.index(column, *ORDERED)
+        rows = storage.scan(self.spark, entry)
+        if spec is not None:
+            least, most = ranges.where("low <= high").agg(F.min("low"), F.max("high")).first()
+            served = layouts.read_sorted(self.spark, storage.stored_schema(entry), spec.path)
+            rows = self._with_fresh(entry, spec, served.where(F.col(column).between(F.lit(least), F.lit(most))))
+        return batch.ranges_many(rows.drop(RID), column, ranges)
 
     def radius_many(self, table: str, columns: Sequence[str], centers: DataFrame, radius: float) -> DataFrame:
-        """Every (center_id, row) within `radius` of centers (center_id, x, y): many radius searches in one join."""
-        entry = self.catalog.load(table)
-        return batch.radius_many(storage.scan(self.spark, entry).drop(RID), list(columns), centers, radius)
+        """Every (center_id, row) within `radius` of centers (center_id, x, y): many radius searches in one join.
 
-    def _ranked(self, entry: TableEntry, names: list[str], scores: DataFrame) -> DataFrame:
-        """The scored rows, best first; scores (id, score) are few, at most the query's limit."""
-        rows = storage.scan(self.spark, entry).join(scores.withColumnRenamed(scores.columns[0], RID), RID)
+        An RTREE over the columns serves it: the cells of the box around all centers are read.
+        """
+        entry = self.catalog.load(table)
+        spec = entry.index(",".join(columns), "RTREE")
+        rows = storage.scan(self.spark, entry)
+        if spec is not None:
+            x0, x1, y0, y1 = centers.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+            if x0 is not None and y0 is not None:
+                served = layouts.read_grid_box(self.spark, storage.stored_schema(entry), spec.path, spec.info, x0 - radius, x1 + radius, y0 - radius, y1 + radius)
+                rows = self._with_fresh(entry, spec, served)
+        return batch.radius_many(rows.drop(RID), list(columns), centers, radius)
+
+    def _ranked(self, entry: TableEntry, names: list[str], scores: DataFrame, limit: int | None) -> DataFrame:
+        """The scored rows, best first; scores (id, score) under a limit are broadcast."""
+        scores = scores.withColumnRenamed(scores.columns[0], RID)
+        rows = storage.scan(self.spark, entry).join(F.broadcast(scores) if limit is not None and limit <= storage.BROADCAST_IDS else scores, RID)
         return _pick(rows.orderBy(F.desc("score"), F.desc(RID)), ["score", *names])
 
     def _match(self, entry: TableEntry, names: list[str], where: ast.Match, limit: int | None) -> QueryResult:
@@ -427,45 +548,38 @@ class Engine:
         spec = next((i for i in entry.indexes if i.kind == "FTS" and where.column in i.columns), None)
         if spec is None:
             raise EngineError(f"no full-text index holds {where.column!r}")
-        if spec.covered != len(entry.parts):  # rows were appended since
-            old = spec.path
-            self._build(entry, spec)
-            self.catalog.save(entry)
-            self._forget([old])
-        ix = FtsIndex(spec.path, spec.info["n_docs"], spec.info["profile"])
+        self._current(entry, spec)
+        ix = FtsIndex(spec.info["segments"], spec.info["profile"])
         scores = ix.search(self.spark, where.query, limit)
-        return QueryResult(frame=self._ranked(entry, names, scores), columns=["score", *names], used_index={"type": "FTS", "column": spec.key})
+        return QueryResult(frame=self._ranked(entry, names, scores, limit), columns=["score", *names], used_index={"type": "FTS", "column": spec.key})
 
     def _similar(self, entry: TableEntry, names: list[str], where: ast.Similar, limit: int | None, data: bytes | None = None) -> QueryResult:
         entry.column(where.column)
         modality = files.modality_of(where.path)
         specs = [i for i in entry.indexes if i.kind == "MM" and i.key == where.column and i.info["modality"] == modality]
-        spec = next((i for i in specs if where.k is None or i.info["k"] == where.k), None)
+        k = where.k or (specs[0].info["k"] if specs else DEFAULT_K)
+        spec = next((i for i in specs if i.info["k"] == k), None)
         if spec is None:
-            raise EngineError(f"no {modality} index on {where.column!r}" + (f" with K={where.k}" if where.k else ""))
-        if spec.covered != len(entry.parts):
-            old = spec.path
-            self._build(entry, spec)
-            self.catalog.save(entry)
-            self._forget([old])
+            raise EngineError(f"no {modality} index on {where.column!r} with K={k}")
+        self._current(entry, spec)
         book = np.array(spec.info["codebook"])
         found = files.extract_bytes(files.read_bytes(where.path) if data is None else data, modality)
         counts: dict[int, int] = {}
         if found is not None and found.shape[1] == book.shape[1]:
             near = ((book * book).sum(1)[None] - 2 * found.astype(np.float64) @ book.T).argmin(1)
             counts = {int(w): int(n) for w, n in zip(*np.unique(near, return_counts=True))}
-        hist = self.spark.read.schema("obj_id bigint, word int, tf bigint").parquet(f"{spec.path}/histograms")
+        hist = self.spark.read.schema("obj_id bigint, word int, tf bigint").parquet(*[f"{g['path']}/histograms" for g in spec.info["segments"]])
         n = spec.info["n_seq" if where.mode == "SEQ" else "n_index"]
         weights = media.word_weights(hist, n)
         idf = {r["word"]: r["idf"] for r in weights.select("word", "idf").distinct().collect()}  # at most K words
         query = {w: c * idf[w] for w, c in counts.items() if w in idf}
-        ids = self.spark.read.schema("obj_id bigint, descriptor array<float>").parquet(f"{spec.path}/descriptors")
+        ids = self.spark.read.schema("obj_id bigint, descriptor array<float>").parquet(*[f"{g['path']}/descriptors" for g in spec.info["segments"]])
         if modality == "image":  # unreadable images are no objects, unreadable sounds are empty ones
             ids = ids.where(F.col("descriptor").isNotNull())
         ids = ids.select("obj_id").distinct()
         scores = media.similar(weights, query, limit, where.mode, ids)
         used = None if where.mode == "SEQ" else {"type": "MM", "column": spec.key}
-        return QueryResult(frame=self._ranked(entry, names, scores), columns=["score", *names], used_index=used, used_method=where.mode)
+        return QueryResult(frame=self._ranked(entry, names, scores, limit), columns=["score", *names], used_index=used, used_method=where.mode)
 
     def similar_to_bytes(self, table: str, column: str, name: str, data: bytes, k: int | None = None, mode: str = "INDEX", limit: int | None = None) -> QueryResult:
         """Objects like an uploaded file; `name` tells the modality by its extension."""

@@ -120,7 +120,7 @@ def between_date_text(spark, sf_dir):
     e = new_engine(spark)
     e.create_table("days", [("o_orderkey", "INT"), ("day", "DATE")])
     e.insert_frame("days", read_table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")))
-    return run(e, "SELECT * FROM days WHERE day BETWEEN '1995-01-01' AND '1995-06-30' LIMIT 1000000").withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+    return api(e, "days", ast.Between("day", "1995-01-01", "1995-06-30")).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
 
 
 # --- index kinds -----------------------------------------------------------------------
@@ -174,7 +174,7 @@ def insert_then_select(spark, sf_dir):
     e = loaded(spark, sf_dir, "supplier", _SUPPLIER)
     e.sql("CREATE INDEX i ON supplier(s_nationkey) TYPE HASH")
     e.sql("INSERT INTO supplier VALUES (900001, 'nuevo uno', 7, 10.5); INSERT INTO supplier VALUES (900002, 'nuevo dos', 7, 20)")
-    return run(e, "SELECT * FROM supplier WHERE s_nationkey = 7 LIMIT 1000000")
+    return api(e, "supplier", ast.Eq("s_nationkey", "7"))
 
 
 @query("select o_orderkey, o_custkey from orders where o_custkey between 100 and 140 and o_custkey <> 120 union all values (9000001::bigint, 110::bigint), (9000002, 139)")
@@ -217,7 +217,7 @@ def csv_inferred_schema(spark, sf_dir):
 def radius_two_columns(spark, sf_dir):
     e = attached(spark, sf_dir, "part", "p_partkey")
     e.create_index("part", ["p_size", "p_retailprice"], "RTREE")
-    return run(e, "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size, p_retailprice IN ((25, 1000), 10) LIMIT 1000000")
+    return api(e, "part", ast.Radius(("p_size", "p_retailprice"), (25.0, 1000.0), 10.0), ("p_partkey", "p_size", "p_retailprice"))
 
 
 @query("""with t as (select id, hoja, trim(coord) as c from rt_coord),
@@ -227,7 +227,7 @@ def radius_two_columns(spark, sf_dir):
 def radius_point_text(spark, sf_dir):
     e = attached(spark, sf_dir, "rt_coord", "id", ["id", "coord", "hoja"])
     e.create_index("rt_coord", ["coord"], "RTREE")
-    return run(e, "SELECT id, hoja FROM rt_coord WHERE coord IN ((100000, 100000), 80000) LIMIT 10000000")
+    return api(e, "rt_coord", ast.Radius(("coord",), (100000.0, 100000.0), 80000.0), ("id", "hoja"))
 
 
 @query("""select p_partkey, (p_size - 25) * (p_size - 25) + (p_retailprice - 1000) * (p_retailprice - 1000) as d2 from part

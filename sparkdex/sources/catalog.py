@@ -1,7 +1,8 @@
-"""The catalog: one JSON file per table in the warehouse, replaced as a whole.
+"""The catalog: a folder of numbered JSON files per table in the warehouse, the highest one valid.
 
-The warehouse may be on any file system Spark reaches. A change is written beside the
-old file and renamed over it, so a reader sees the table before or after a statement.
+The warehouse may be on any file system Spark reaches. A change is written beside the old
+file and renamed to the next number, which fails if another writer has taken it: a reader
+sees the table before or after a statement, and no writer undoes another's.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkdex.functions.types import ColumnType
@@ -48,7 +50,11 @@ class TableEntry:
     next_rid: int = 0
     version: int = 0
     rid_column: str | None = None  # of a table kept elsewhere
-    stream_batch: int = -1  # the last micro-batch inserted
+    streams: dict[str, int] = field(default_factory=dict)  # the last micro-batch inserted, by stream
+    dead: list[str] = field(default_factory=list)  # files of the record ids deleted since the parts were written
+    dead_rows: int = 0
+    sizes: list[int] = field(default_factory=list)  # rows of each part
+    revision: int = 0  # the catalog file this entry was read from
     indexes: list[IndexSpec] = field(default_factory=list)
 
     def types(self) -> dict[str, ColumnType]:
@@ -74,8 +80,8 @@ class Files:
         p = self.jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.conf)
 
-    def write(self, path: str, text: str) -> None:
-        """Write beside the target and rename over it."""
+    def write_new(self, path: str, text: str) -> bool:
+        """Write beside the target and rename to it; False where the target exists already."""
         tmp = f"{path}.{uuid.uuid4().hex}.tmp"
         p, fs = self._at(tmp)
         out = fs.create(p, True)
@@ -83,8 +89,15 @@ class Files:
         out.close()
         ctx = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.getUri(), self.conf)
         opts = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        opts[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-        ctx.rename(p, self.jvm.org.apache.hadoop.fs.Path(path), opts)
+        opts[0] = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+        try:
+            ctx.rename(p, self.jvm.org.apache.hadoop.fs.Path(path), opts)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            fs.delete(p, False)
+            return False
+        return True
 
     def write_bytes(self, path: str, data: bytes) -> None:
         p, fs = self._at(path)
@@ -115,27 +128,37 @@ class Catalog:
     def __init__(self, spark: SparkSession, warehouse: str):
         self.spark, self.warehouse, self.files = spark, warehouse.rstrip("/"), Files(spark)
 
-    def _file(self, table: str) -> str:
+    def _folder(self, table: str) -> str:
         if not re.fullmatch(r"\w+", table):
             raise CatalogError(f"not a table name: {table!r}")
-        return f"{self.warehouse}/{table}.table.json"
+        return f"{self.warehouse}/{table}.table"
+
+    def _revisions(self, table: str) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.files.names(self._folder(table)) if re.fullmatch(r"\d+\.json", n))
 
     def load(self, table: str) -> TableEntry:
-        text = self.files.read(self._file(table))
-        if text is None:
+        known = self._revisions(table)
+        if not known:
             raise CatalogError(f"no table {table!r}")
-        d = json.loads(text)
+        d = json.loads(self.files.read(f"{self._folder(table)}/{known[-1]:08d}.json"))
         d["indexes"] = [IndexSpec(**i) for i in d["indexes"]]
-        return TableEntry(**d)
+        return TableEntry(**(d | {"revision": known[-1]}))
 
     def exists(self, table: str) -> bool:
-        return self.files.read(self._file(table)) is not None
+        return bool(self._revisions(table))
 
     def save(self, entry: TableEntry) -> None:
-        self.files.write(self._file(entry.name), json.dumps(asdict(entry), indent=1))
+        """Make this entry the table's state; CatalogError where another writer changed it since it was read."""
+        entry.revision += 1
+        folder = self._folder(entry.name)
+        if not self.files.write_new(f"{folder}/{entry.revision:08d}.json", json.dumps(asdict(entry), indent=1)):
+            raise CatalogError(f"table {entry.name!r} was changed by another writer; run the statement again")
+        for old in self._revisions(entry.name):
+            if old < entry.revision - 1:  # a reader may still be about to open the one before
+                self.files.delete(f"{folder}/{old:08d}.json")
 
     def tables(self) -> list[str]:
-        return [n.removesuffix(".table.json") for n in self.files.names(self.warehouse) if n.endswith(".table.json")]
+        return [n.removesuffix(".table") for n in self.files.names(self.warehouse) if n.endswith(".table")]
 
     def tables_frame(self) -> DataFrame:
         return self.spark.createDataFrame([(t,) for t in self.tables()], "table_name string")

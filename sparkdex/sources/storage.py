@@ -20,8 +20,25 @@ def stored_schema(entry: TableEntry) -> T.StructType:
     return T.StructType([T.StructField(RID, T.LongType()), *table_schema(entry)])
 
 
+#: Deleted record ids up to this many are broadcast to the readers, 8 bytes each; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def living(spark: SparkSession, entry: TableEntry, rows: DataFrame) -> DataFrame:
+    """`rows` (with record ids) without those deleted since the parts were written."""
+    if not entry.dead:
+        return rows
+    dead = spark.read.schema(T.StructType([T.StructField(RID, T.LongType())])).parquet(*entry.dead)
+    return rows.join(F.broadcast(dead) if entry.dead_rows <= BROADCAST_IDS else dead, RID, "left_anti")
+
+
 def scan(spark: SparkSession, entry: TableEntry, parts: Sequence[str] | None = None) -> DataFrame:
-    """The table's rows with their record id; only the named parts if given."""
+    """The table's living rows with their record id; only the named parts if given."""
+    return living(spark, entry, stored(spark, entry, parts))
+
+
+def stored(spark: SparkSession, entry: TableEntry, parts: Sequence[str] | None = None) -> DataFrame:
+    """All rows of the parts, those deleted since included."""
     parts = entry.parts if parts is None else list(parts)
     if entry.rid_column:
         d = spark.read.parquet(*parts)
@@ -47,6 +64,7 @@ def append(catalog: Catalog, entry: TableEntry, rows: DataFrame) -> int:
     rows.select((F.monotonically_increasing_id() + F.lit(entry.next_rid)).alias(RID), *[F.col(n).cast(t.spark).alias(n) for n, t in entry.types().items()]).write.parquet(path)
     n, last = catalog.spark.read.schema(T.StructType([T.StructField(RID, T.LongType())])).parquet(path).agg(F.count(F.lit(1)), F.max(RID)).first()
     entry.parts.append(path)
+    entry.sizes.append(n)
     entry.next_rid = entry.next_rid if last is None else last + 1
     return n
 
@@ -64,17 +82,43 @@ def insert_rows(catalog: Catalog, entry: TableEntry, rows: Sequence[Sequence[obj
     with_ids = [(entry.next_rid + i, *r) for i, r in enumerate(cooked)]
     spark.createDataFrame(with_ids, stored_schema(entry)).coalesce(1).write.parquet(path)
     entry.parts.append(path)
+    entry.sizes.append(len(cooked))
     entry.next_rid += len(cooked)
     return entry
 
 
-def replace(catalog: Catalog, entry: TableEntry, rows: DataFrame) -> list[str]:
-    """Write a new version of the table from `rows` (with ids); returns the parts it replaces.
+def bury(catalog: Catalog, entry: TableEntry, rids: DataFrame) -> int:
+    """Mark the rows with these record ids as deleted; returns how many. Nothing is rewritten."""
+    path = catalog.folder(entry.name, "dead")
+    rids.select(RID).write.parquet(path)
+    n = catalog.spark.read.schema(T.StructType([T.StructField(RID, T.LongType())])).parquet(path).count()
+    if n:
+        entry.dead.append(path)
+        entry.dead_rows += n
+    else:
+        catalog.files.delete(path)
+    return n
+
+
+def merge(catalog: Catalog, entry: TableEntry, first: int = 0) -> list[str]:
+    """Write the living rows of the parts from number `first` on as one part; returns the files it replaces.
 
-    Record ids are kept: their order is all that is observable.
+    Record ids are kept: their order is all that is observable. Merging all parts drops
+    the marks of deleted rows too.
     """
     path = catalog.folder(entry.name, "part")
-    rows.write.parquet(path)
-    old, entry.parts = entry.parts, [path]
+    scan(catalog.spark, entry, entry.parts[first:]).write.parquet(path)
+    n = catalog.spark.read.schema(T.StructType([T.StructField(RID, T.LongType())])).parquet(path).count()
+    old, entry.parts, entry.sizes = entry.parts[first:], [*entry.parts[:first], path], [*entry.sizes[:first], n]
+    if first == 0:
+        old, entry.dead, entry.dead_rows = [*old, *entry.dead], [], 0
     entry.version += 1
     return old
+
+
+def merge_dead(catalog: Catalog, entry: TableEntry) -> list[str]:
+    """Write the marks of deleted rows as one file; returns the files it replaces."""
+    path = catalog.folder(entry.name, "dead")
+    catalog.spark.read.parquet(*entry.dead).coalesce(max(1, entry.dead_rows // 10_000_000)).write.parquet(path)
+    old, entry.dead = entry.dead, [path]
+    return old

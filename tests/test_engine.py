@@ -197,3 +197,84 @@ def test_ranked_queries_need_their_index(engine):
         engine.sql("SELECT * FROM t WHERE a @@ 'x'")
     with pytest.raises(EngineError):
         engine.sql("SELECT * FROM t WHERE a <-> 'x.png'")
+
+
+def test_deletes_are_marks_until_they_are_many(engine):
+    engine.sql("CREATE TABLE t (a INT INDEX BTREE, b INT INDEX HASH)")
+    engine.insert("t", [(i % 10, i) for i in range(100)])
+    parts = engine.catalog.load("t").parts
+    assert engine.sql("DELETE FROM t WHERE a = 3")[0].info == {"deleted": 10}
+    e = engine.catalog.load("t")
+    assert e.parts == parts and e.dead_rows == 10 and len(e.dead) == 1
+    assert rows(engine, "SELECT * FROM t WHERE a = 3") == [] and rows(engine, "SELECT * FROM t WHERE b = 13") == []
+    assert used(engine, "SELECT * FROM t WHERE b = 13") == "EHASH" and len(rows(engine, "SELECT * FROM t WHERE a BETWEEN 2 AND 4")) == 20
+    assert engine.sql("DELETE FROM t WHERE a = 3")[0].info == {"deleted": 0}
+    engine.insert("t", [(3, 1000)])
+    assert rows(engine, "SELECT * FROM t WHERE a = 3") == [[3, 1000]]
+    engine.sql("DELETE FROM t WHERE a = 4; DELETE FROM t WHERE a = 5")
+    e = engine.catalog.load("t")
+    assert e.dead == [] and len(e.parts) == 1 and e.sizes == [71]  # a fifth was gone: written anew
+    assert len(rows(engine, "SELECT * FROM t WHERE a BETWEEN 3 AND 6")) == 11
+
+
+def test_many_inserts_keep_few_parts(engine):
+    engine.sql("CREATE TABLE t (a INT INDEX BTREE)")
+    for i in range(20):
+        engine.insert("t", [(i,)])
+    e = engine.catalog.load("t")
+    assert len(e.parts) < 10 and sum(e.sizes) == 20
+    assert rows(engine, "SELECT a FROM t WHERE a BETWEEN 0 AND 30") == [[i] for i in range(20)]
+
+
+def test_two_writers_do_not_undo_each_other(engine):
+    engine.sql("CREATE TABLE t (a INT)")
+    stale = engine.catalog.load("t")
+    engine.insert("t", [(1,)])
+    stale.parts.append("elsewhere")
+    with pytest.raises(CatalogError):
+        engine.catalog.save(stale)
+    assert rows(engine, "SELECT * FROM t") == [[1]]
+
+
+def test_ranked_index_takes_new_rows_as_a_segment(engine):
+    engine.sql("CREATE TABLE d (id INT, txt VARCHAR[40])")
+    engine.insert("d", [(i, f"comun palabra{chr(97 + i)}") for i in range(6)])
+    engine.sql("CREATE FTS INDEX ON d(txt)")
+    engine.insert("d", [(10, "nueva palabra"), (11, "comun nueva")])
+    q = "SELECT id FROM d WHERE txt @@ 'nueva'"
+    got = rows(engine, q)
+    assert {r[1] for r in got} == {10, 11}
+    spec = engine.catalog.load("d").indexes[0]
+    assert [g["n_docs"] for g in spec.info["segments"]] == [6, 2] and spec.info["n_docs"] == 8
+    engine.sql("CREATE FTS INDEX ON d(txt)")  # built at once
+    assert rows(engine, q) == got
+    engine.sql("DELETE FROM d WHERE id = 10")
+    assert [r[1] for r in rows(engine, q)] == [11]
+    assert engine.catalog.load("d").indexes[0].info["n_docs"] == 7
+
+
+def test_knn_and_probes_through_indexes(engine, spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    data = [(i, rnd.uniform(0, 100), rnd.uniform(0, 100)) for i in range(400)] + [(400, 1e9, -1e9), (401, None, 1.0)]
+    engine.sql("CREATE TABLE p (id INT, x FLOAT, y FLOAT)")
+    engine.insert("p", data)
+    plain = [engine.knn("p", ["x", "y"], q, k).rows() for q, k in (((50, 50), 7), ((1e9, 0), 2), ((-500, 3), 1), ((5, 5), 500))]
+    engine.sql("CREATE INDEX g ON p(x, y) TYPE RTREE")
+    engine.insert("p", [(500, 50.0, 50.0)])
+    r = engine.knn("p", ["x", "y"], (50, 50), 8)
+    assert r.used_index == {"column": "x,y", "type": "RTREE"} and [v[0] for v in r.rows()][0] == 500 and r.rows()[1:] == plain[0]
+    assert [engine.knn("p", ["x", "y"], q, k).rows() for q, k in (((1e9, 0), 2), ((-500, 3), 1))] == plain[1:3]
+    centers = spark.createDataFrame([(1, 10.0, 10.0), (2, 60.0, 40.0)], "center_id int, x double, y double")
+    want = sorted((c, i) for c, cx, cy in ((1, 10, 10), (2, 60, 40)) for i, x, y in [*data, (500, 50.0, 50.0)] if x is not None and (x - cx) ** 2 + (y - cy) ** 2 <= 144)
+    assert sorted(map(tuple, engine.radius_many("p", ["x", "y"], centers, 12.0).select("center_id", "id").collect())) == want
+    keys = spark.createDataFrame([(3,), (77,), (None,), (999,), (3,)], "k int")
+    ranges = spark.createDataFrame([(1, 5, 9), (2, 380, 390), (3, 9, 5)], "range_id int, low int, high int")
+    for kind in ("HASH", "BTREE"):
+        engine.create_index("p", ["id"], kind)
+        assert sorted(r.id for r in engine.probe_many("p", "id", keys).collect()) == [3, 77]
+        got = sorted(map(tuple, engine.ranges_many("p", "id", ranges).select("range_id", "id").collect()))
+        assert got == [(1, i) for i in range(5, 10)] + [(2, i) for i in range(380, 391)]

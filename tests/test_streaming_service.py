@@ -17,7 +17,21 @@ def test_stream_feeds_a_table_once(engine, spark, tmp_path):
     spark.createDataFrame([(2, "c")], "k int, v string").write.mode("append").parquet(src)
     feed_table(engine, "t", read(), str(tmp_path / "cp")).awaitTermination()
     assert engine.sql("SELECT v FROM t WHERE k = 2")[0].rows() == [["b"], ["c"]]
-    assert engine.insert_frame("t", engine.table("t"), batch=0) == 0  # a batch seen before
+    (stream,) = engine.catalog.load("t").streams
+    assert engine.insert_frame("t", engine.table("t"), (stream, 0)) == 0  # a batch seen before
+
+
+def test_streams_do_not_drop_each_others_batches(engine, spark, tmp_path):
+    engine.sql("CREATE TABLE t (k INT, v VARCHAR[9])")
+    for n in range(3):
+        src = str(tmp_path / f"in{n}")
+        spark.createDataFrame([(n, "a"), (n, "b")], "k int, v string").repartition(2).write.parquet(src)
+        read = spark.readStream.schema("k int, v string").option("maxFilesPerTrigger", 1).parquet(src)
+        feed_table(engine, "t", read, str(tmp_path / f"cp{n}")).awaitTermination()
+    assert engine.table("t").count() == 6 and len(engine.catalog.load("t").streams) == 3
+    # the same source from a new checkpoint is read again, whole
+    feed_table(engine, "t", spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in0")), str(tmp_path / "other")).awaitTermination()
+    assert engine.table("t").count() == 8
 
 
 def test_service_over_http(engine):
