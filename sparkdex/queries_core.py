@@ -7,24 +7,20 @@ from pyspark.sql import functions as F
 
 from sparkdex.common import read_table
 from sparkdex.functions.coords import parse_point
-from sparkdex.operators.key_profile import heavy_keys, key_profile
+from sparkdex.operators.key_profile import heaviest_keys, key_profile
 from sparkdex.operators.spatial import distinct_points, known_position, pairs_within, points_in_regions
 
 KEYS = ["idx_name", "clave"]
 
 
-def leaf_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return key_profile(read_table(spark, sf_dir, "leaf_values"), KEYS, "logged_at", "rid", (0.5,))
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys holding more than 1% of all rows of leaf_values."""
-    return heavy_keys(leaf_profile(spark, sf_dir), KEYS)
+    return heaviest_keys(read_table(spark, sf_dir, "leaf_values"), KEYS, 0.01).select(*KEYS)
 
 
 def p2_key_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries, distinct rids, first, last and median logged_at of every key."""
-    return leaf_profile(spark, sf_dir)
+    return key_profile(read_table(spark, sf_dir, "leaf_values"), KEYS, "logged_at", "rid", (0.5,))
 
 
 def city_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkdex.functions.types import RID
-from sparkdex.operators.key_profile import heavy_keys, key_profile
+from sparkdex.operators.key_profile import heaviest_keys, heavy_keys, key_profile
 from sparkdex.operators.layouts import SortedBase
 from sparkdex.operators.spatial import SlabMap, distinct_points, known_position, pairs_within, points_in_regions, region_edges
 
@@ -55,6 +55,43 @@ def test_key_profile_matches_brute_force(spark):
     assert empty.count() == 0 and "q50" in empty.columns
 
 
+def test_profiles_keep_values_exact(spark):
+    from decimal import Decimal
+
+    v = [0.1, 0.4, 0.9, -0.0, -1e300, 1e300, float("-inf"), float("nan"), None, 5e-324]
+    d = spark.createDataFrame([("k", x) for x in v], "k string, v double")
+    for hot in (1, 1000):  # by refinement, and plainly
+        r = key_profile(d, ["k"], "v", quantiles=(0.5, 1.0), hot_rows=hot, hot_share=10**9).first()
+        good = sorted(x for x in v if x is not None and x == x)
+        assert (r["entries"], r["first_value"], r["last_value"], r["q50"], r["q100"]) == (10, good[0], good[-1], good[3], good[-1])
+    with pytest.raises(TypeError):
+        key_profile(d.select(F.lit("a").alias("k"), F.lit("b").alias("v")), ["k"], "v")
+    dec = spark.createDataFrame([("k", Decimal("1.05")), ("k", Decimal("1.01"))], "k string, v decimal(10,2)")
+    assert key_profile(dec, ["k"], "v").first()["q50"] == Decimal("1.01")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Madrid")
+    try:  # two clock times of the hour that is skipped, and of the one that comes twice
+        at = [datetime(2024, 3, 31, 2, 30), datetime(2024, 3, 31, 3, 30), datetime(2024, 10, 27, 2, 30, 0, 7), datetime(1960, 5, 1, 1, 2, 3, 999999)]
+        t = spark.createDataFrame([("k", x) for x in at], "k string, v timestamp_ntz")
+        r = key_profile(t, ["k"], "v", quantiles=(0.25, 0.5, 0.75, 1.0), hot_rows=1, hot_share=10**9).first()
+        assert [r[c] for c in ("q25", "q50", "q75", "q100")] == sorted(at) and r["first_value"] == at[3]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_heaviest_keys_match_counts(spark):
+    rng = random.Random(9)
+    ks = [rng.choices(["a", "b", "", None, f"r{rng.randrange(400)}"], [30, 2, 1.5, 20, 46])[0] for _ in range(6000)]
+    d = spark.createDataFrame([(k, "x", 1) for k in ks], "k string, i string, entries int").repartition(5)
+    count = defaultdict(int)
+    for k in ks:
+        count[k] += 1
+    for share in (0.001, 0.01, 0.25, 0.5):
+        want = {(k, "x"): n for k, n in count.items() if k is not None and n > share * 6000}
+        assert {(r[0], r[1]): r[2] for r in heaviest_keys(d, ["k", "i"], share).collect()} == want
+    assert heaviest_keys(d.limit(0), ["k", "i"], 0.01).count() == 0
+
+
 def test_pairs_match_brute_force(spark):
     rng = random.Random(5)
     pts = [(i, round(rng.gauss(0, 2), 2), round(rng.gauss(0, 2), 2)) for i in range(300)] + [(1000 + i, 1.0, 1.0) for i in range(30)] + [(2000, None, 1.0), (2001, float("nan"), 1.0)]
