@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from sparkdex.common import session_of
+from sparkdex.common import materialize, session_of
 
 
 def key_column(keys: DataFrame, column: str, kind: T.DataType) -> DataFrame:
@@ -104,6 +105,11 @@ def radius_many(rows: DataFrame, columns: Sequence[str], centers: DataFrame, rad
     which there are fewer than hot_share, are spread over as many parts as they hold limits,
     and their centres repeated to each. Null and NaN coordinates are within no distance.
     """
+    return _near(rows, columns, centers, radius, hot_rows, hot_share).drop("_d2")
+
+
+def _near(rows: DataFrame, columns: Sequence[str], centers: DataFrame, radius: float, hot_rows: int = 2_000, hot_share: int = 10_000) -> DataFrame:
+    """radius_many with the squared distance as _d2."""
     if radius <= 0:
         raise ValueError("radius must be positive")
     session_of(rows)
@@ -123,5 +129,41 @@ def radius_many(rows: DataFrame, columns: Sequence[str], centers: DataFrame, rad
         c = c.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1))).drop("_s")
         on = [*on, "_salt"]
     d2 = (px - F.col("_x")) * (px - F.col("_x")) + (py - F.col("_y")) * (py - F.col("_y"))
-    met = placed.join(c, on).where(d2 <= radius * radius)
-    return met.select("center_id", *[F.col(f"`{x}`") for x in rows.columns])
+    return placed.join(c, on).where(d2 <= radius * radius).select("center_id", *[F.col(f"`{x}`") for x in rows.columns], d2.alias("_d2"))
+
+
+def knn_many(rows: DataFrame, columns: Sequence[str], centers: DataFrame, k: int, order: str) -> DataFrame:
+    """(center_id, row columns, d2, rank): the k rows nearest to each center (center_id, x, y).
+
+    By squared distance, ties to the smaller `order` (a unique column of the rows). A radius
+    search finds the centers that have k rows within it; the others search again with twice
+    the radius, so a center sees few more rows than it needs. The first radius is that of a
+    circle that holds k rows where they are even. Null and NaN coordinates take no part; a
+    table of fewer than k rows gives all of them.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    px, py = (F.col(f"`{c}`").cast("double") for c in columns)
+    known = rows.where(px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py))
+    asked = centers.select("center_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    asked = asked.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    n, qx, qy = known.agg(F.count(F.lit(1)), F.percentile_approx(px, [0.005, 0.995], 1000), F.percentile_approx(py, [0.005, 0.995], 1000)).first()
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    w = Window.partitionBy("center_id").orderBy("_d2", order)
+    ranked = lambda d: d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("center_id", *names, F.col("_d2").alias("d2"), "rank")
+    if n <= k:  # every row answers every center
+        d2 = (px - F.col("_x")) * (px - F.col("_x")) + (py - F.col("_y")) * (py - F.col("_y"))
+        few = F.broadcast(known)  # at most k rows
+        return ranked(asked.select("center_id", F.col("x").alias("_x"), F.col("y").alias("_y")).join(few).select("center_id", *names, d2.alias("_d2")))
+    extent = max(qx[1] - qx[0], qy[1] - qy[0])
+    radius = extent * math.sqrt(k / n) if extent > 0 else 1.0
+    out = None
+    while True:
+        found, _ = materialize(_near(known, columns, asked, radius), "near")
+        full = found.groupBy("center_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select("center_id")
+        got = ranked(found.join(full, "center_id", "left_semi"))
+        out = got if out is None else out.unionByName(got)
+        asked, _ = materialize(asked.join(full, "center_id", "left_anti"), "centers")
+        if not asked.limit(1).count():
+            return out
+        radius *= 2

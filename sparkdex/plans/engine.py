@@ -475,6 +475,10 @@ class Engine:
         near = rows.withColumn("d2", d2).where(F.col("d2").isNotNull()).orderBy("d2", RID).limit(k)
         return QueryResult(frame=near.select(*[F.col(f"`{n}`") for n in names], "d2"), columns=[*names, "d2"], used_index=used)
 
+    def knn_many(self, table: str, columns: Sequence[str], centers: DataFrame, k: int) -> DataFrame:
+        """(center_id, row, d2, rank): the k rows nearest to each of centers (center_id, x, y), in a few joins."""
+        return batch.knn_many(storage.scan(self.spark, self.catalog.load(table)), list(columns), centers, k, RID).drop(RID)
+
     def _point(self, columns: Sequence[str]) -> tuple[Column, Column]:
         if len(columns) == 1:
             p = parse_point(F.col(columns[0]))

@@ -215,3 +215,18 @@ def test_radius_search_splits_crowded_cells(spark):
     want = sorted((c, i) for c, cx, cy in ((1, 0, 0), (2, 0.6, 0.4)) for i in range(300) if ((i % 7) / 10 - cx) ** 2 + ((i % 5) / 10 - cy) ** 2 <= 0.09)
     for hot in (10, 10_000):
         assert sorted((r.center_id, r.id) for r in radius_many(pts, ["x", "y"], centers, 0.3, hot_rows=hot).collect()) == want
+
+
+def test_many_nearest_match_brute_force(spark):
+    from sparkdex.operators.batch import knn_many
+
+    rng = random.Random(4)
+    pts = [(i, rng.choice([0.0, rng.uniform(0, 9), 1e6]), rng.uniform(0, 9)) for i in range(120)]
+    d = spark.createDataFrame([*pts, (900, None, 1.0), (901, float("nan"), 1.0)], "id int, x double, y double")
+    asked = [(1, 0.0, 0.0), (2, 1e6, 4.0), (3, -1e7, 2.0), (4, 5.0, 5.0)]
+    c = spark.createDataFrame([*asked, (5, None, 0.0)], "center_id int, x double, y double")
+    for k in (1, 7, 500):
+        got = sorted((r.center_id, r["rank"], r.id) for r in knn_many(d, ["x", "y"], c, k, "id").collect())
+        want = [(n, i + 1, p) for n, cx, cy in asked for i, (_, p) in enumerate(sorted(((x - cx) ** 2 + (y - cy) ** 2, p) for p, x, y in pts)[:k])]
+        assert got == sorted(want), k
+    assert knn_many(d.limit(0), ["x", "y"], c, 3, "id").count() == 0
