@@ -16,8 +16,11 @@ from sparkdex.llm.similar import similar_objects
 from sparkdex.llm.terms import term_records, text_content
 from sparkdex.llm.truncation import find_truncated, truncation_rates
 
-#: Share of the cells scanned per query where no lowest cosine bounds the search.
-NEAREST_PROBES = 0.5
+#: Share of the cells whose codes are scanned per query where no lowest cosine bounds the search: an object
+#: without a close neighbour has its nearest ones in any of them.
+NEAREST_PROBES = 1.0
+#: Codes a query keeps of each block for the exact comparison: scores of such objects lie close together.
+NEAREST_DEPTH = 400
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -129,7 +132,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five objects most alike to every object whose id is divisible by 100, out of all."""
-    near = similar_objects(media_objects(spark, sf_dir), k=5, min_cosine=None, nprobe=NEAREST_PROBES, only_queries="id % 100 = 0")
+    near = similar_objects(media_objects(spark, sf_dir), k=5, min_cosine=None, nprobe=NEAREST_PROBES, depth=NEAREST_DEPTH, only_queries="id % 100 = 0")
     return near.select("scope", "obj_id", "other_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 

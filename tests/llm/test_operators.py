@@ -54,6 +54,43 @@ def test_similar_objects_match_brute_force(spark):
     assert similar_objects(d.limit(0)).count() == 0
 
 
+def test_similar_vectors_of_every_kind_and_length(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 24))
+    rows = [("f", i, (base[i % 40] * (1 + i // 40) + rng.normal(scale=0.05, size=24)).tolist()) for i in range(240)]
+    rows += [("f", 1000 + i, rng.normal(size=7).tolist()) for i in range(160)] + [("f", 2000, [0.5, float("nan")]), ("f", 2001, [float("inf"), 1.0]), ("f", 2002, []), ("f", 2003, [None, None])]
+    rows += [("f", 3000, [0.25, 0.5]), ("f", 3001, [0.5, 1.0]), ("f", 3002, [None, 1.0]), ("f", 3003, [-0.0, 1.0])]
+    d = spark.createDataFrame(rows, "scope string, id bigint, vec array<double>")
+    good = {}
+    for _, i, v in rows:
+        x = [0.0 if u is None else u for u in v]
+        if any(x) and all(math.isfinite(u) for u in x):
+            good.setdefault(len(x), {})[i] = np.array(x)
+    want = set()
+    for part in good.values():
+        for i, v in part.items():
+            c = sorted((-round(float(v @ u / np.linalg.norm(v) / np.linalg.norm(u)), 9), j) for j, u in part.items() if j != i)
+            want |= {(i, j, -s) for s, j in c[:3] if -s >= 0.9}
+    for small in (0, 10_000):
+        got = {(r.obj_id, r.other_id, r.cosine) for r in similar_objects(d, k=3, min_cosine=0.9, small=small, nprobe=64).collect()}
+        assert {g[:2] for g in got} == {w[:2] for w in want} and all(abs(a[2] - b[2]) < 2e-9 for a, b in zip(sorted(got), sorted(want)))
+    # where a null stands tells vectors apart, and a copy of a query's vector may carry the query
+    n = spark.createDataFrame([("s", 1, [1, None, 2]), ("s", 2, [1, 2, None]), ("s", 50, [9, 9, 1]), ("s", 100, [9, 9, 1]), ("s", 51, [9, 9, 2])], "scope string, id bigint, vec array<int>")
+    assert {(r.obj_id, r.other_id, r.cosine) for r in similar_objects(n, k=1, min_cosine=-1.0).collect()} >= {(100, 50, 1.0)}
+    assert round({(r.obj_id, r.other_id): r.cosine for r in similar_objects(n, k=4, min_cosine=-1.0).collect()}[1, 2], 6) == 0.2
+    assert [(r.obj_id, r.other_id) for r in similar_objects(n, k=2, min_cosine=None, only_queries="id % 100 = 0").orderBy("rank").collect()] == [(100, 50), (100, 51)]
+
+
+def test_wide_vectors_are_packed_without_loss():
+    from sparkdex.llm.vectors import cell_type, pack_sparse, unpack_sparse
+
+    m = np.zeros((2, 70_000))
+    m[0, 66_000], m[1, 3], m[1, 69_999] = 5, -(2**40), 7
+    t = cell_type(70_000, False, 7, -(2**40))
+    assert (unpack_sparse(pack_sparse(m, t).to_pylist(), 70_000, t) == m).all()
+    assert cell_type(128, False, 200, 0).itemsize == 2 and cell_type(300, True, 1, 0).itemsize == 10
+
+
 def test_score_aware_codes_lower_the_parallel_error():
     rng = np.random.default_rng(1)
     x = unit(np.abs(rng.normal(size=(1500, 32))) * (rng.random((1500, 32)) < 0.4) + 1e-3)
