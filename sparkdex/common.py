@@ -79,6 +79,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder when the application ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def materialize(df: DataFrame, label: str = "t") -> tuple[DataFrame, str]:
     """Write `df` as a table of the shared folder and read it back.
 
@@ -89,6 +95,5 @@ def materialize(df: DataFrame, label: str = "t") -> tuple[DataFrame, str]:
     spark = session_of(df)
     path = f"{shared_dir(spark)}/sparkdex/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
