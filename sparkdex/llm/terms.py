@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,15 +10,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LETTERS = regex.compile(r"\p{L}+")
-
+from sparkdex.common import session_of
+from sparkdex.functions.analyzer import fold
 
-def fold(text: str) -> str:
-    """Lower case, NFKD, combining marks removed."""
-    text = text.lower()
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words(text: str | None) -> list[str]:
@@ -63,9 +57,16 @@ def term_records(corpus: DataFrame, histograms: DataFrame) -> DataFrame:
     Records of `corpus` all count, also those without any term; of `histograms` only
     usable ones. scope is "text" or the object's modality.
     """
+    session_of(corpus)
     text = corpus.select(F.lit("text").alias("scope"), F.col("rid").cast("bigint").alias("record_id"), text_content(F.col("title"), F.col("body")).alias("text"))
     text = text.mapInArrow(_count_batches, "scope string, record_id bigint, terms array<struct<term:string,tf:bigint>>")
     hist = histograms.where(usable_histogram(F.col("hist_tf"))).select(
         F.col("modality").alias("scope"), F.col("obj_id").alias("record_id"), histogram_terms(F.col("hist_tf")).alias("terms")
     )
     return text.unionByName(hist)
+
+
+def record_counts(corpus: DataFrame, histograms: DataFrame) -> DataFrame:
+    """(scope, n_records) of the records of term_records, without looking into the texts."""
+    hist = histograms.where(usable_histogram(F.col("hist_tf"))).select(F.col("modality").alias("scope"))
+    return corpus.select(F.lit("text").alias("scope")).unionByName(hist).groupBy("scope").agg(F.count(F.lit(1)).alias("n_records"))
