@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkdex.common import materialize
+
 
 def _em(tf: np.ndarray, bg: np.ndarray, rec: np.ndarray, n: int, lam: float, tol: float, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Converged P(term | record) for the flattened terms of n records; rec is each term's record."""
@@ -63,7 +65,7 @@ def _best(rec: np.ndarray, value: np.ndarray, term: pa.Array, is_text: np.ndarra
 def score_records(joined: DataFrame, lam: float = 0.1, tol: float = 1e-6, max_rounds: int = 50, top: int | None = None, by: str = "score") -> DataFrame:
     """(scope, record_id, term, tf, df, n_records, probability, score) from one row per record.
 
-    With `top`, only each record's best terms by `by` ("score" or "probability"), above 0.
+    With `top`, only each record's best terms by `by` ("score" or "probability", to 9 decimals), above 0.
 
     `joined` has scope, record_id, n_records, total (all occurrences of the scope) and
     items: ARRAY<STRUCT<term, tf, df, cf>>. score is (1 + log10 tf) * log10(N / df) for
@@ -86,7 +88,7 @@ def score_records(joined: DataFrame, lam: float = 0.1, tol: float = 1e-6, max_ro
             is_text = np.array([s == "text" for s in b.column("scope").to_pylist()], dtype=bool)[rec]
             score = np.where(is_text, (1 + np.log10(tf)) * np.log10(n / df), tf * (np.log((n + 1) / (df + 1)) + 1))
             score = np.round(score, 6)
-            keep = slice(None) if top is None else _best(rec, {"score": score, "probability": p}[by], flat.field("term"), is_text, top)
+            keep = slice(None) if top is None else _best(rec, {"score": score, "probability": np.round(p, 9)}[by], flat.field("term"), is_text, top)
             at, kept = pa.array(rec[keep]), pa.array(np.arange(len(rec))[keep])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -112,6 +114,7 @@ def distinctive_terms(
     collection are joined by broadcast: there are fewer than hot_share of them however
     the data grow, and they are the ones that would load single tasks of a join.
     """
+    records, _ = materialize(records.select("scope", "record_id", "terms"), "records")  # texts are taken apart once
     flat = records.select("scope", "record_id", F.explode("terms").alias("t")).select("scope", "record_id", "t.term", "t.tf")
     stats = flat.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     sizes = records.groupBy("scope").agg(F.count(F.lit(1)).alias("n_records"))
