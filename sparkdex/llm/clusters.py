@@ -1,24 +1,27 @@
 """Grouping vectors into clusters of mutually similar ones by parallel pivot clustering.
 
-Records have a random order (a hash of the id). Each round takes the next stretch of
-that order that no earlier pivot has absorbed; a record with no earlier pivot within
-the radius is a local minimum and becomes a pivot, and all records within the radius of
-a new pivot are absorbed, in one pass over the table without a shuffle. Then members go
-to their closest pivot, medoids are recomputed, and clusters linked by records within
-the radius of each other can be merged into groups.
+Records have a random order (a hash of the id). Each round takes the first records of that
+order that no pivot has absorbed yet; tasks find the local minima among them, those with no
+earlier one within the radius, which become pivots; and all live records within the radius of a
+new pivot are absorbed, in one pass without a shuffle. Absorbed records take no part in later
+rounds, so a round reads only what is left. Then members go to their closest pivot, medoids are
+recomputed, and clusters linked by records within the radius of each other can be merged into
+groups.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sparkdex.common import materialize, remove_path
+from sparkdex.common import delete_on_exit, materialize, remove_path, session_of, shared_dir
 from sparkdex.llm.vectors import copy_key, first_copies, list_matrix, salted_join, unpack_floats
 
 #: The hash order of a record: 62 bits, so that stretches of it can be computed in longs.
@@ -68,161 +71,226 @@ def _hits(x: np.ndarray, xa: np.ndarray, p: np.ndarray, pa_: np.ndarray, limit:
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
 
 
-def local_minima(x: np.ndarray, radius: float) -> np.ndarray:
-    """Rows of x, in order, that have no earlier chosen row within the radius."""
-    chosen = np.empty(0, dtype=np.int64)
-    for s in range(0, len(x), 512):
-        b = x[s : s + 512]
-        free = np.ones(len(b), dtype=bool)
-        if len(chosen):
-            p = x[chosen]
-            r, _, _ = _hits(b, _augment_points(b), p, _augment_pivots(p), radius)
-            free[r] = False
-        left = np.nonzero(free)[0]
-        if len(left):
-            y = b[left]
-            r, c, _ = _hits(y, _augment_points(y), y, _augment_pivots(y), radius)
-            near: dict[int, list[int]] = {}
-            for i, j in zip(r.tolist(), c.tolist()):
-                if i < j:
-                    near.setdefault(i, []).append(j)
-            open_ = np.ones(len(left), dtype=bool)
-            for i in range(len(left)):
-                if open_[i]:
-                    for j in near.get(i, ()):
-                        open_[j] = False
-            chosen = np.concatenate([chosen, left[open_] + s])
-    return chosen
-
-
-def absorb(base: DataFrame, pivot_id: np.ndarray, pivot_vec: np.ndarray, limit: np.ndarray | float, dim: int) -> DataFrame:
-    """(id, ord, pivot, dist) for every row of base (id, ord, vec binary) within `limit` of a pivot."""
-    bc = base.sparkSession.sparkContext.broadcast((pivot_id, pivot_vec.astype(np.float32), limit))
+def _local_minima(spark: SparkSession, x: np.ndarray, radius: float, tile: int = 1024) -> np.ndarray:
+    """Rows of x, in order, with no earlier row within the radius; each task takes a share of the rows."""
+    if len(x) <= tile:
+        return np.nonzero(~_has_earlier(x, 0, len(x), radius))[0]
+    bc = spark.sparkContext.broadcast(x)
+    n_tiles = -(-len(x) // tile)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b["id"]:
+                lo, hi = t * tile, min(len(bc.value), (t + 1) * tile)
+                yield pd.DataFrame({"row": lo + np.nonzero(~_has_earlier(bc.value, lo, hi, radius))[0]})
+
+    rows = spark.range(0, n_tiles, 1, n_tiles).mapInPandas(run, "row bigint").toPandas()["row"].to_numpy()  # at most the round's candidates
+    return np.sort(rows)
+
+
+def _has_earlier(x: np.ndarray, lo: int, hi: int, radius: float) -> np.ndarray:
+    """For the rows lo..hi of x whether an earlier row is within the radius."""
+    out = np.zeros(hi - lo, dtype=bool)
+    y = x[lo:hi]
+    ya = _augment_points(y)
+    for s in range(0, hi, 1024):
+        p = x[s : min(hi, s + 1024)]
+        r, c, _ = _hits(y, ya, p, _augment_pivots(p), radius)
+        out[r[c + s < r + lo]] = True
+    return out
+
+
+def _absorb(live: DataFrame, pivot_id: np.ndarray, pivot_vec: np.ndarray, radius: float, dim: int) -> DataFrame:
+    """Every row of live (id, ord, vec) with the closest of the pivots within the radius, ties to the smaller, or none; open is 1 where there is none."""
+    by_id = np.argsort(pivot_id, kind="stable")
+    bc = live.sparkSession.sparkContext.broadcast((pivot_id[by_id], pivot_vec[by_id].astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, p, lim = bc.value
+        ids, p = bc.value
         aug = _augment_pivots(p)
         for b in batches:
             if not len(b):
                 continue
             x = unpack_floats(b.column("vec").to_pylist(), dim)
-            r, c, d = _hits(x, _augment_points(x), p, aug, lim)
-            at = pa.array(r)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("ord").take(at), pa.array(ids[c]), pa.array(d)], names=["id", "ord", "pivot", "dist"])
+            r, c, d = _hits(x, _augment_points(x), p, aug, radius)
+            o = np.lexsort((c, d, r))
+            r, c, d = r[o], c[o], d[o]
+            first = np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.empty(0, bool)
+            pivot, dist, open_ = np.zeros(len(x), np.int64), np.zeros(len(x)), np.ones(len(x), np.int32)
+            pivot[r[first]], dist[r[first]], open_[r[first]] = ids[c[first]], d[first], 0
+            none = open_ == 1
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), b.column("ord"), b.column("vec"), pa.array(pivot, mask=none), pa.array(dist, mask=none), pa.array(open_)], names=["id", "ord", "vec", "pivot", "dist", "open"]
+            )
 
-    return base.select("id", "ord", "vec").mapInArrow(run, "id bigint, ord bigint, pivot bigint, dist double")
+    return live.select("id", "ord", "vec").mapInArrow(run, "id bigint, ord bigint, vec binary, pivot bigint, dist double, open int")
 
 
-def pivot_rounds(base: DataFrame, radius: float, dim: int, batch: int = 4096, rows: int | None = None) -> tuple[DataFrame, int]:
-    """(id, ord, pivot, dist): every pair of a record and a pivot within the radius; rounds taken.
+def pivot_rounds(base: DataFrame, radius: float, dim: int, batch: int = 8192) -> tuple[DataFrame, int]:
+    """(id, vec, pivot, dist) of every record of base (id, ord, vec) with the pivot that absorbed it; rounds taken.
 
-    Each record has at least one pivot; a pivot has itself at distance 0. A round brings
-    at most 2 * batch candidate records to the driver and broadcasts their pivots.
+    No two pivots are within the radius of each other. A round has about `batch` candidates,
+    the live records before a bound of the hash order; they and their pivots are broadcast.
     """
-    spark = base.sparkSession
-    rows = base.count() if rows is None else rows
+    spark = session_of(base)
     end, at = 1 << _ORDER_BITS, 0
-    hits: DataFrame | None = None
-    rounds = 0
-    share = 1.0
-    while at < end:
-        width = int(min(end - at, max(1, end * batch / max(1.0, rows * share))))
-        stretch = base.where((F.col("ord") >= at) & (F.col("ord") < at + width))
-        if hits is not None:
-            done = hits.where((F.col("ord") >= at) & (F.col("ord") < at + width)).select("id").distinct()
-            stretch = stretch.join(done, "id", "left_anti")
-        got = stretch.orderBy("ord", "id").limit(2 * batch).select("id", "ord", "vec").toPandas()
-        stop = at + width
-        if len(got) == 2 * batch:  # the stretch held more: go on after the last order value that is complete
-            last = int(got["ord"].iloc[-1])
-            if last > at:
-                got, stop = got[got["ord"] < last], last
-        share = max(len(got) / max(1.0, rows * (stop - at) / end), 1e-6)
-        if len(got):
-            x = unpack_floats(got["vec"], dim)
-            keep = local_minima(x, radius)
-            found, _ = materialize(absorb(base, got["id"].to_numpy()[keep], x[keep], radius, dim), "hits")
-            hits = found if hits is None else hits.unionByName(found)
-            rounds += 1
-        at = stop
-    if hits is None:
-        hits = spark.createDataFrame([], "id bigint, ord bigint, pivot bigint, dist double")
-    return hits, rounds
+    live, n_live, rounds = base, base.count(), 0
+    out: DataFrame | None = None
+    schema = "id bigint, vec binary, pivot bigint, dist double"
+    while n_live:
+        waiting = live.where(F.col("ord") < at).count() if at else 0
+        room = max(batch - waiting, batch // 4)
+        at = min(end, at + int((end - at) * room / max(1, n_live - waiting)) + 1)
+        got = live.where(F.col("ord") < at).select("id", "ord", "vec").toPandas().sort_values(["ord", "id"])  # about `batch` rows: the order is a hash
+        if not len(got):
+            continue
+        x = unpack_floats(got["vec"], dim)
+        keep = _local_minima(spark, x, radius)
+        path = f"{shared_dir(spark)}/sparkdex/absorbed-{uuid.uuid4().hex}"
+        _absorb(live, got["id"].to_numpy()[keep], x[keep], radius, dim).write.partitionBy("open").parquet(path)
+        delete_on_exit(spark, path)
+        table = spark.read.schema("id bigint, ord bigint, vec binary, pivot bigint, dist double, open int").parquet(path)
+        done = table.where("open = 0").select("id", "vec", "pivot", "dist")
+        out = done if out is None else out.unionByName(done)
+        live = table.where("open = 1").select("id", "ord", "vec")
+        n_live = live.count()
+        rounds += 1
+    return out if out is not None else spark.createDataFrame([], schema), rounds
+
+
+def _parted(pivots: DataFrame, part_rows: int) -> DataFrame:
+    """(pivot, parts): in how many parts the members of a cluster are worked on."""
+    return pivots.select("pivot", F.greatest(F.lit(1), F.ceil(F.col("size") / part_rows)).cast("int").alias("parts"))
+
+
+def place_members(members: DataFrame, pivots: DataFrame, part_rows: int = 20_000) -> DataFrame:
+    """members (id, vec, pivot, dist) with the part of their cluster they belong to.
+
+    Only clusters above `part_rows` have more than one part; there are fewer of them than
+    rows / part_rows, and they alone are broadcast.
+    """
+    large = F.broadcast(_parted(pivots.where(F.col("size") > part_rows), part_rows))
+    return members.join(large, "pivot", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
+def near_pivots(pivots: DataFrame, dim: int, limit: np.ndarray | float, both: bool, block: int = 16_384) -> DataFrame:
+    """(a, b, dist, axis) of pairs of pivots (pivot, size, extent, vec) not farther apart than limit plus, with
+    `both`, their extents. At least one of the two has other members; a pair comes once.
+
+    Blocks of about `block` such pivots are broadcast one after another and met by all pivots.
+    """
+    spark = session_of(pivots)
+    wide = pivots.where(F.col("size") > 1)
+    n = wide.count()
+    out = spark.createDataFrame([], "a bigint, b bigint, dist double, axis binary")
+    n_blocks = -(-n // block)
+    order = F.pmod(F.xxhash64("pivot"), F.lit(max(1, n_blocks)))
+    for i in range(n_blocks):
+        q = wide.where(order == i).select("pivot", "extent", "vec").toPandas()  # a block of the clusters, about `block` rows
+        if q.empty:
+            continue
+        bc = spark.sparkContext.broadcast((q["pivot"].to_numpy(), unpack_floats(q["vec"], dim), q["extent"].to_numpy()))
+
+        def near(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
+            ids, p, ext = bc.value
+            aug = _augment_pivots(p)
+            for b in batches:
+                x, e, own = unpack_floats(b["vec"], dim), b["extent"].to_numpy(), b["pivot"].to_numpy()
+                r, c, d = _hits(x, _augment_points(x), p, aug, limit + ((ext + (e.max() if len(e) else 0)) if both else 0))
+                ok = (own[r] != ids[c]) & ((own[r] < ids[c]) | (b["size"].to_numpy()[r] == 1))
+                ok &= d <= limit + ((ext[c] + e[r]) if both else 0)
+                r, c, d = r[ok], c[ok], d[ok]
+                axis = (p[c] - x[r]) / np.linalg.norm(p[c] - x[r], axis=1, keepdims=True)
+                yield pd.DataFrame({"a": own[r], "b": ids[c], "dist": d, "axis": [v.tobytes() for v in axis.astype("<f4")]})
+
+        out = out.unionByName(pivots.select("pivot", "size", "extent", "vec").mapInPandas(near, "a bigint, b bigint, dist double, axis binary"))
+    return out
+
+
+def reassign(placed: DataFrame, pivots: DataFrame, radius: float, dim: int) -> DataFrame:
+    """(id, pivot, dist) of members (id, vec, pivot, dist, part) with their closest pivot, ties to the smaller.
+
+    A pivot closer to a member than its own is within twice the member's distance of it, so a
+    cluster's members are compared with the pivots within twice the radius of theirs alone.
+    """
+    pairs, _ = materialize(near_pivots(pivots, dim, 2 * radius, False).select("a", "b"), "near")
+    around = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("pivot"), F.col("a").alias("other")))
+    around = around.join(pivots.select(F.col("pivot").alias("other"), F.col("vec").alias("other_vec")), "other")
+    parts = pivots.select("pivot", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("size") / 20_000)).cast("int") - 1)).alias("part"))
+    around = around.join(parts, "pivot")
+
+    def closest(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if m.empty:
+            return pd.DataFrame({"id": [], "pivot": [], "dist": []})
+        best, dist = m["pivot"].to_numpy().copy(), m["dist"].to_numpy().copy()
+        if len(q):
+            x, q = unpack_floats(m["vec"], dim), q.sort_values("other")
+            p, ids = unpack_floats(q["other_vec"], dim), q["other"].to_numpy()
+            for s in range(0, len(p), 512):
+                r, c, d = _hits(x, _augment_points(x), p[s : s + 512], _augment_pivots(p[s : s + 512]), radius)
+                o = np.lexsort((c, d, r))
+                r, c, d = r[o], c[o], d[o]
+                first = np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.empty(0, bool)
+                r, c, d = r[first], c[first], d[first]
+                nearer = (d < dist[r]) | ((d == dist[r]) & (ids[c + s] < best[r]))
+                best[r[nearer]], dist[r[nearer]] = ids[c[nearer] + s], d[nearer]
+        return pd.DataFrame({"id": m["id"].to_numpy(), "pivot": best, "dist": dist})
+
+    return placed.select("id", "vec", "pivot", "dist", "part").groupBy("pivot", "part").cogroup(around.groupBy("pivot", "part")).applyInPandas(closest, "id bigint, pivot bigint, dist double")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of an undirected graph (a, b): root is the smallest node of the component.
 
     Labels spread along edges and through their own labels until nothing changes; each
-    round is written to the shared folder and the one before is dropped.
+    round is written to the shared folder and the one before is dropped. Nodes of very many
+    edges and roots of very many nodes are joined in parts.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct()
     both, _ = materialize(both, "edges")
+    degrees, _ = materialize(both.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("copies")), "degrees")
+    n_edges = degrees.agg(F.sum("copies")).first()[0] or 0
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root"))
     labels, path = materialize(labels, "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        met = salted_join(both.select("a", F.col("b").alias("node")), labels, ["node"], degrees, "a", n_edges)
+        near = met.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved"))
-        jump = step.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        nxt = step.join(jump, step["root"] == jump["n2"], "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root"), "moved")
+        step, step_path = materialize(step, "labels")
+        jump = step.select(F.col("node").alias("root"), F.col("root").alias("r2"))
+        sizes = step.groupBy("root").agg(F.count(F.lit(1)).alias("copies"))
+        nxt = salted_join(step, jump, ["root"], sizes, "node", n_edges).select("node", F.least("root", "r2").alias("root"), "moved")
         nxt, nxt_path = materialize(nxt, "labels")
         remove_path(labels.sparkSession, path)
+        remove_path(labels.sparkSession, step_path)
         changed = nxt.where("moved").limit(1).count()
         labels, path = nxt.select("node", "root"), nxt_path
         if not changed:
             return labels
 
 
-def member_links(base: DataFrame, members: DataFrame, pivots: DataFrame, radius: float, dim: int, block: int = 4096, part_rows: int = 20_000) -> DataFrame:
-    """(a, b): pairs of clusters with members within the radius of each other, beyond what pivots show.
+def member_links(placed: DataFrame, pivots: DataFrame, radius: float, dim: int, part_rows: int = 20_000, tile: int = 4096) -> DataFrame:
+    """(a, b): pairs of clusters with members within the radius of each other.
 
-    Only clusters of two or more records can be linked by records that are no pivots, and
-    only where their pivots are within radius + both extents. Such a pair is first put to
-    the test of its axis: the members that reach farthest towards each other along the
-    line between the pivots. If even these are more than a radius apart along the line, no
+    `placed` has id, vec, pivot, part; pivots has pivot, size, extent (the farthest member), vec.
+    Only clusters whose pivots are within radius + both extents can be linked. Such a pair is
+    first put to the test of its axis: the members that reach farthest towards each other along
+    the line between the pivots. If even these are more than a radius apart along the line, no
     members are within a radius; if they are within it, the clusters are linked; only what
-    stays open is compared in full, restricted to members beyond the other's reach.
+    stays open is compared in full, restricted to members beyond the other's reach, in tiles of
+    `tile` members of each side.
     """
-    spark = base.sparkSession
+    spark = session_of(placed)
     schema = "a bigint, b bigint"
-    wide = pivots.where(F.col("size") > 1)
-    wide, _ = materialize(wide.join(base.select(F.col("id").alias("pivot"), "vec"), "pivot"), "wide")
-    n = wide.count()
-    if n < 2:
-        return spark.createDataFrame([], schema)
-    order = F.pmod(F.xxhash64("pivot"), F.lit(max(1, -(-n // block))))
-    pairs = None
-    for i in range(max(1, -(-n // block))):
-        q = wide.where(order == i).select("pivot", "extent", "vec").toPandas()  # a block of the clusters, about `block` rows
-        if q.empty:
-            continue
-        bc = spark.sparkContext.broadcast((q["pivot"].to_numpy(), unpack_floats(q["vec"], dim), q["extent"].to_numpy()))
-
-        def near(batches: Iterator[pd.DataFrame], bc=bc) -> Iterator[pd.DataFrame]:
-            ids, p, ext = bc.value
-            aug = _augment_pivots(p)
-            for b in batches:
-                x = unpack_floats(b["vec"], dim)
-                e = b["extent"].to_numpy()
-                r, c, d = _hits(x, _augment_points(x), p, aug, radius + ext + (e.max() if len(e) else 0))
-                ok = (b["pivot"].to_numpy()[r] < ids[c]) & (d <= radius + ext[c] + e[r]) & (d > 0)
-                r, c = r[ok], c[ok]
-                axis = (p[c] - x[r]) / np.linalg.norm(p[c] - x[r], axis=1, keepdims=True)
-                yield pd.DataFrame({"a": b["pivot"].to_numpy()[r], "b": ids[c], "axis": [v.tobytes() for v in axis.astype("<f4")]})
-
-        part = wide.select("pivot", "extent", "vec").mapInPandas(near, "a bigint, b bigint, axis binary")
-        pairs = part if pairs is None else pairs.unionByName(part)
-    pairs, _ = materialize(pairs, "pairs")
+    pairs, _ = materialize(near_pivots(pivots, dim, radius, True), "pairs")
     if pairs.limit(1).count() == 0:
         return spark.createDataFrame([], schema)
-    sizes = F.broadcast(wide.select("pivot", F.greatest(F.lit(1), F.ceil(F.col("size") / part_rows)).cast("int").alias("parts"))) if n <= 100_000 else wide.select(
-        "pivot", F.greatest(F.lit(1), F.ceil(F.col("size") / part_rows)).cast("int").alias("parts")
-    )
+    sizes = pivots.select("pivot", F.greatest(F.lit(1), F.ceil(F.col("size") / part_rows)).cast("int").alias("parts"))
     asked = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("other"), F.lit(1).alias("sign"), "axis").union(
         pairs.select(F.col("b"), F.col("a"), F.lit(-1), F.col("axis"))
     )
     asked = asked.join(sizes, "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    vecs = members.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(base.select("id", "vec"), "id").select("pivot", "part", "id", "vec")
+    vecs = placed.select("pivot", "part", "id", "vec")
 
     def reach(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if m.empty or q.empty:
@@ -254,7 +322,7 @@ def member_links(base: DataFrame, members: DataFrame, pivots: DataFrame, radius:
     tested = one.join(two, ["a", "b"]).where(F.col("rb") - F.col("ra") <= radius + slack).mapInPandas(distance, "a bigint, b bigint, ra double, rb double, linked boolean")
     tested, _ = materialize(tested, "tested")
     links = tested.where("linked").select("a", "b")
-    still = tested.where("not linked").join(pairs, ["a", "b"])
+    still = tested.where("not linked").join(pairs.select("a", "b", "axis"), ["a", "b"])
     if still.limit(1).count() == 0:
         return links
 
@@ -265,10 +333,17 @@ def member_links(base: DataFrame, members: DataFrame, pivots: DataFrame, radius:
                 ok = np.where(b["left"], pr >= b["rb"] - radius - slack, pr <= b["ra"] + radius + slack)
                 yield b[ok][["a", "b", "left", "id", "vec"]]
 
-    flat = vecs.select("pivot", "id", "vec")
     sides = still.select("a", "b", "ra", "rb", "axis", F.explode(F.array(F.lit(True), F.lit(False))).alias("left")).withColumn("pivot", F.when(F.col("left"), F.col("a")).otherwise(F.col("b")))
-    close = sides.join(flat, "pivot").select("a", "b", "ra", "rb", "axis", "left", "id", "vec").mapInPandas(beyond, "a bigint, b bigint, left boolean, id bigint, vec binary")
-    close = close.withColumn("i", F.when(F.col("left"), F.array(F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))).otherwise(F.sequence(F.lit(0), F.lit(7)))).withColumn("i", F.explode("i"))
+    sides = sides.join(sizes, "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    close = sides.join(vecs, ["pivot", "part"]).select("a", "b", "ra", "rb", "axis", "left", "id", "vec").mapInPandas(beyond, "a bigint, b bigint, left boolean, id bigint, vec binary")
+    close, _ = materialize(close, "close")
+    many = close.groupBy("a", "b").agg(F.sum(F.col("left").cast("int")).alias("nl"), F.sum((~F.col("left")).cast("int")).alias("nr"))
+    tiles = many.where("nl > 0 and nr > 0").select("a", "b", F.ceil(F.col("nl") / tile).cast("int").alias("tl"), F.ceil(F.col("nr") / tile).cast("int").alias("tr"))
+    h = F.xxhash64("id")
+    spread = close.join(tiles, ["a", "b"])
+    i = F.when(F.col("left"), F.array(F.pmod(h, F.col("tl")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("tl") - 1))
+    j = F.when(F.col("left"), F.sequence(F.lit(0), F.col("tr") - 1)).otherwise(F.array(F.pmod(h, F.col("tr")).cast("int")))
+    spread = spread.withColumn("i", F.explode(i)).withColumn("j", F.explode(j)).select("a", "b", "i", "j", "left", "vec")
 
     def touch(key: tuple, m: pd.DataFrame) -> pd.DataFrame:
         left = m["left"].to_numpy(bool)
@@ -281,23 +356,23 @@ def member_links(base: DataFrame, members: DataFrame, pivots: DataFrame, radius:
                 return pd.DataFrame({"a": [key[0]], "b": [key[1]]})
         return pd.DataFrame({"a": [], "b": []})
 
-    return links.union(close.groupBy("a", "b", "i").applyInPandas(touch, schema)).distinct()
+    return links.union(spread.groupBy("a", "b", "i", "j").applyInPandas(touch, schema)).distinct()
 
 
-def pivot_clusters(vectors: DataFrame, radius: float, dim: int, batch: int = 4096, merge: bool = True) -> tuple[DataFrame, DataFrame]:
+def pivot_clusters(vectors: DataFrame, radius: float, dim: int, batch: int = 8192, merge: bool = True) -> tuple[DataFrame, DataFrame]:
     """Clusters of (id, vec array) at Euclidean distance `radius`.
 
     Returns (id, cluster, group, dist) for every row, and the base table (id, ord, vec
-    binary) of distinct vectors the rounds worked on. cluster is the
-    closest pivot (ties to the smaller), group the smallest id of the records connected
-    through pairs within the radius; without `merge`, group is the cluster. Rows that are
-    exact copies share both. Vectors must be usable (see usable_vector); null ids are
-    dropped; an empty table gives no rows.
+    binary) of distinct vectors the rounds worked on. cluster is the closest pivot (ties to
+    the smaller), group the smallest id of the records connected through pairs within the
+    radius; without `merge`, group is the cluster. Rows that are exact copies share both.
+    Vectors must be usable (see usable_vector); null ids are dropped; an empty table gives no rows.
     """
+    session_of(vectors)
     keyed = vectors.where(F.col("id").isNotNull()).select("id", "vec", *copy_key(F.col("vec")))
     on = ["k1", "k2"]
     groups, _ = materialize(first_copies(keyed, "id", on), "groups")
-    total = groups.agg(F.sum("copies"), F.count(F.lit(1))).first()
+    total = groups.agg(F.sum("copies")).first()[0] or 0
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,43 +383,46 @@ def pivot_clusters(vectors: DataFrame, radius: float, dim: int, batch: int = 409
     reps = keyed.drop(*on).join(groups.select(F.col("rep").alias("id")), "id")
     order = F.shiftrightunsigned(F.xxhash64("id", F.lit("pivot order")), 64 - _ORDER_BITS)
     base, _ = materialize(reps.select("id", order.alias("ord"), "vec").mapInArrow(pack, "id bigint, ord bigint, vec binary"), "base")
-    hits, _ = pivot_rounds(base, radius, dim, batch, total[1])
-    own = hits.groupBy("id").agg(F.min(F.struct("dist", "pivot")).alias("m"), F.count(F.lit(1)).alias("n"))
-    members, _ = materialize(own.select("id", F.col("m.pivot").alias("pivot"), F.col("m.dist").alias("dist"), "n"), "members")
-    out = members.select("id", F.col("pivot").alias("cluster"), "dist")
+    members, _ = pivot_rounds(base, radius, dim, batch)
+    own = F.max(F.when(F.col("id") == F.col("pivot"), F.col("vec"))).alias("vec")
+    pivots, _ = materialize(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.max("dist").alias("extent"), F.min("id").alias("least"), own), "pivots")
+    placed, _ = materialize(place_members(members, pivots), "placed")
+    closest, _ = materialize(reassign(placed, pivots, radius, dim), "closest")
     if merge:
-        pivots, _ = materialize(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.max("dist").alias("extent")), "pivots")
-        shared = members.where("n > 1").select("id", F.col("pivot").alias("a")).join(hits.select("id", F.col("pivot").alias("b")), "id").where("a <> b").select("a", "b")
-        links = shared.union(member_links(base, members, pivots, radius, dim)).distinct()
-        root = connected(links)
-        named = members.join(root.select(F.col("node").alias("pivot"), "root"), "pivot", "left").withColumn("root", F.coalesce("root", "pivot"))
-        smallest = named.groupBy("root").agg(F.min("id").alias("group"))
-        out = named.join(smallest, "root").select("id", F.col("pivot").alias("cluster"), "dist", "group")
+        root = connected(member_links(placed, pivots, radius, dim))
+        named = pivots.join(root.select(F.col("node").alias("pivot"), "root"), "pivot", "left").select("pivot", F.coalesce("root", "pivot").alias("root"), "least", "size")
+        named, _ = materialize(named, "roots")
+        group = named.groupBy("root").agg(F.min("least").alias("group"))
+        of_pivot = salted_join(named.select("pivot", "root"), group, ["root"], named.groupBy("root").agg(F.count(F.lit(1)).alias("copies")), "pivot", total).select("pivot", "group")
     else:
-        out = out.withColumn("group", F.col("cluster"))
-    lists = out.withColumnRenamed("id", "rep").join(groups, "rep")
-    wide = salted_join(keyed.select("id", *on), lists.drop("copies"), on, groups, "id", total[0] or 0)
+        of_pivot = pivots.select("pivot", F.col("pivot").alias("group"))
+    # clusters as they are after members went to their closest pivot
+    sizes = closest.groupBy("pivot").agg(F.count(F.lit(1)).alias("copies"))
+    out = salted_join(closest, of_pivot, ["pivot"], sizes, "id", total).select(F.col("id").alias("rep"), F.col("pivot").alias("cluster"), "dist", "group")
+    lists = out.join(groups, "rep")
+    wide = salted_join(keyed.select("id", *on), lists.drop("copies"), on, groups, "id", total)
     return wide.select("id", "cluster", "group", "dist"), base
 
 
 def describe_clusters(assigned: DataFrame, vectors: DataFrame, typical: int = 3, least: int = 1) -> DataFrame:
     """(cluster, size, medoid, typical_ids) of (id, cluster) with their (id, vec array).
 
-    The medoid is the member closest to the mean of its cluster, and typical_ids are the
-    `typical` members closest to it in that sense, nearest first, ties to the smaller id.
-    Means are partial sums; the nearest members are kept by a rank limit applied before
-    the shuffle, so a large cluster is never gathered.
+    The medoid is the member with the least sum of squared distances to all members. That sum is
+    the size times the squared distance to the mean plus a number equal for all, so it is, exactly,
+    the member closest to the mean. typical_ids are the `typical` first members in that
+    order, ties to the smaller id. Means are partial sums; the nearest members are kept by a
+    rank limit applied before the shuffle, so a large cluster is never gathered.
     """
-    from pyspark.sql.window import Window
-
     rows = assigned.select("id", "cluster").join(vectors.select("id", "vec"), "id")
     cells = rows.select("cluster", F.posexplode("vec").alias("i", "v"))
     means = cells.groupBy("cluster", "i").agg(F.avg("v").alias("m")).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
     means = means.select("cluster", F.col("c.m").alias("mean"))
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
-    spread = means.join(sizes, "cluster").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    spread = means.join(sizes, "cluster").withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("size") / 20_000)).cast("int"))
+    hot = F.broadcast(spread.where("salts > 1").select("cluster", "salts"))  # fewer than rows / 20,000
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     d = F.aggregate(F.zip_with("vec", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")).join(spread, ["cluster", "salt"]).select("cluster", "id", "size", F.round(F.sqrt(d), 6).alias("d"))
+    near = rows.join(hot, "cluster", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts").join(spread, ["cluster", "salt"]).select("cluster", "id", "size", F.round(F.sqrt(d), 6).alias("d"))
     w = Window.partitionBy("cluster").orderBy("d", "id")
     top = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= typical)
     return top.groupBy("cluster").agg(F.max("size").alias("size"), F.min(F.struct("r", "id"))["id"].alias("medoid"), F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"]).alias("typical_ids"))
