@@ -13,7 +13,7 @@ from sparkdex.llm.ngrams import count_ngrams, mark_terms, text_suffixes
 from sparkdex.llm.packing import pack_texts
 from sparkdex.llm.pii import find_personal, redact_personal
 from sparkdex.llm.similar import similar_objects
-from sparkdex.llm.terms import term_records, text_content
+from sparkdex.llm.terms import record_counts, term_records, text_content
 from sparkdex.llm.truncation import find_truncated, truncation_rates
 
 #: Share of the cells whose codes are scanned per query where no lowest cosine bounds the search: an object
@@ -31,8 +31,8 @@ def query(f):
     return f
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_records(read_table(spark, sf_dir, "fts_corpus"), read_table(spark, sf_dir, "mm_histograms"))
+def collections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return read_table(spark, sf_dir, "fts_corpus"), read_table(spark, sf_dir, "mm_histograms")
 
 
 # --- 4: frequency of every term -------------------------------------------------
@@ -40,10 +40,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scope, term, cf, df, n_records, mark) of every term of both collections."""
-    r = records(spark, sf_dir)
-    suffixes = r.select("scope", "record_id", F.explode("terms").alias("t")).select("scope", F.col("t.term").alias("suffix"), "record_id", F.col("t.tf").alias("tf"))
+    corpus, histograms = collections(spark, sf_dir)
+    each = term_records(corpus, histograms).select("scope", F.explode("terms").alias("t"))
+    suffixes = each.select("scope", F.col("t.term").alias("suffix"), F.lit(0).alias("shared"), F.col("t.tf").alias("tf"), F.lit(1).alias("records"))  # a term is in a record's list once
     counts = count_ngrams(suffixes).withColumn("term", F.col("gram")[0]).drop("gram")
-    return mark_terms(counts, r.groupBy("scope").agg(F.count(F.lit(1)).alias("n_records")))
+    return mark_terms(counts, record_counts(corpus, histograms))
 
 
 @query
@@ -95,13 +96,13 @@ SQL["p4_ngrams"] = r"""
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three highest-scoring terms of each record, by the collections' own tf-idf."""
-    return distinctive_terms(records(spark, sf_dir), top=3).select("scope", "record_id", "term")
+    return distinctive_terms(term_records(*collections(spark, sf_dir)), top=3).select("scope", "record_id", "term")
 
 
 @query
 def p5_parsimonious_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three terms of each record with most mass in its parsimonious language model."""
-    top = distinctive_terms(records(spark, sf_dir), top=3, by="probability")
+    top = distinctive_terms(term_records(*collections(spark, sf_dir)), top=3, by="probability")
     return top.select("scope", "record_id", "term", F.round("probability", 4).alias("probability"))
 
 
@@ -115,6 +116,22 @@ SQL["p5_found"] = f"""
     select scope, record_id, term from ranked where k <= 3"""
 
 
+SQL["p5_parsimonious_terms"] = f"""
+    with recursive {_TERMS},
+    total as (select scope, sum(cf)::double as total from stats group by scope),
+    base as (select scope, record_id, term, tf::double as tf, cf / total as bg from tf join stats using (scope, term) join total using (scope)),
+    em as (
+        select scope, record_id, term, tf, bg, tf / sum(tf) over (partition by scope, record_id) as p, 0 as round, 1.0::double as moved from base
+        union all
+        select scope, record_id, term, tf, bg, e / total, round + 1, max(abs(e / total - p)) over (partition by scope, record_id)
+        from (select *, sum(e) over (partition by scope, record_id) as total
+              from (select *, tf * (0.1::double * p) / (0.1::double * p + 0.9::double * bg) as e from em where moved > 1e-6 and round < 50))),
+    last as (select scope, record_id, term, arg_max(p, round) as p from em group by all),
+    ranked as (select *, row_number() over (partition by scope, record_id
+                      order by round(p, 9) desc, case when scope <> 'text' then term::int end, term) as k from last where round(p, 9) > 0)
+    select scope, record_id, term, round(p, 4) as probability from ranked where k <= 3"""
+
+
 # --- 1: most similar vectors for every vector ------------------------------------
 
 
@@ -169,12 +186,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p3_cluster_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, medoid and three most typical descriptors of every cluster of two or more."""
+    """Size, medoid and three most typical descriptors of every cluster, strays being clusters of one."""
     parts = []
     for modality, (dim, radius) in DESCRIPTORS.items():
         rows = descriptor_rows(spark, sf_dir, modality)
         assigned, _ = pivot_clusters(rows, radius, dim, merge=False)
-        report = describe_clusters(assigned, rows, least=2)
+        report = describe_clusters(assigned, rows)
         parts.append(report.select(F.lit(modality).alias("modality"), "cluster", "size", "medoid", F.array_join("typical_ids", ",").alias("typical_ids")))
     return parts[0].unionByName(parts[1])
 

@@ -241,7 +241,7 @@ def _scan(ix: SimilarityIndex, q_id, q_vec, d_id, d_vec, d_code, min_cosine: flo
 
 
 def neighbours(
-    base: DataFrame, ix: SimilarityIndex, k: int, min_cosine: float | None = None, nprobe: float = 8, margin: float = 0.2, depth: int = 50, task_queries: int = 40_000, both_ways: bool = False
+    base: DataFrame, ix: SimilarityIndex, k: int, min_cosine: float | None = None, nprobe: float = 8, margin: float = 0.2, depth: int = 50, task_queries: int = 15_000, both_ways: bool = False
 ) -> DataFrame:
     """(q, d, cosine, rank): the k nearest of (id, vec, is_query) for each row that is a query, ids distinct vectors.
 
@@ -300,6 +300,7 @@ def neighbours(
     sizes = {r[0]: r[1] for r in coded.groupBy("g").count().collect()}
     probes = {r[0]: r[1] for r in coded.select(F.explode("routes.g").alias("g")).groupBy("g").count().collect()}
     plan = [(g, max(1, -(-n // block)), max(1, -(-probes.get(g, 0) // task_queries))) for g, n in sizes.items()]
+    n_tasks = sum(b * p for _, b, p in plan)
     plan = F.broadcast(spark.createDataFrame(plan, "g int, n_blocks int, n_parts int"))
     h = F.xxhash64("id")
     data = coded.select("id", "vec", "code", "cell", F.lit(None).cast("binary").alias("cells"), "g").join(plan, "g")
@@ -338,7 +339,8 @@ def neighbours(
         return _best(a, b, cos, k)
 
     found = data.select("id", "vec", "code", "cell", "cells", "g", "b", "p").unionByName(asks.select("id", "vec", "code", "cell", "cells", "g", "b", "p"))
-    found = found.groupBy("g", "b", "p").applyInPandas(search, "q bigint, d bigint, cosine double")
+    # a number of partitions of its own: the rows are small for what is computed on them
+    found = found.repartition(min(20_000, 2 * n_tasks), "g", "b", "p").groupBy("g", "b", "p").applyInPandas(search, "q bigint, d bigint, cosine double")
     if both_ways:  # a pair may have been found from both sides
         found = found.groupBy("q", "d").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("q").orderBy(F.desc("cosine"), "d")
