@@ -210,8 +210,9 @@ def near_pivots(pivots: DataFrame, dim: int, limit: np.ndarray | float, both: bo
 def reassign(placed: DataFrame, pivots: DataFrame, radius: float, dim: int) -> DataFrame:
     """(id, pivot, dist) of members (id, vec, pivot, dist, part) with their closest pivot, ties to the smaller.
 
-    A pivot closer to a member than its own is within twice the member's distance of it, so a
-    cluster's members are compared with the pivots within twice the radius of theirs alone.
+    A pivot closer to a member than its own is within twice the member's distance of its own, so a
+    cluster's members are compared with the pivots within twice the radius of theirs alone, and
+    clusters without such pivots stay as they are.
     """
     pairs, _ = materialize(near_pivots(pivots, dim, 2 * radius, False).select("a", "b"), "near")
     around = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("pivot"), F.col("a").alias("other")))
@@ -236,7 +237,10 @@ def reassign(placed: DataFrame, pivots: DataFrame, radius: float, dim: int) -> D
                 best[r[nearer]], dist[r[nearer]] = ids[c[nearer] + s], d[nearer]
         return pd.DataFrame({"id": m["id"].to_numpy(), "pivot": best, "dist": dist})
 
-    return placed.select("id", "vec", "pivot", "dist", "part").groupBy("pivot", "part").cogroup(around.groupBy("pivot", "part")).applyInPandas(closest, "id bigint, pivot bigint, dist double")
+    crowded = around.select("pivot").distinct()
+    moved = placed.join(crowded, "pivot", "left_semi").select("id", "vec", "pivot", "dist", "part").groupBy("pivot", "part").cogroup(around.groupBy("pivot", "part"))
+    alone = placed.join(crowded, "pivot", "left_anti").select("id", "pivot", "dist")
+    return alone.unionByName(moved.applyInPandas(closest, "id bigint, pivot bigint, dist double"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -290,7 +294,7 @@ def member_links(placed: DataFrame, pivots: DataFrame, radius: float, dim: int,
         pairs.select(F.col("b"), F.col("a"), F.lit(-1), F.col("axis"))
     )
     asked = asked.join(sizes, "pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    vecs = placed.select("pivot", "part", "id", "vec")
+    vecs = placed.select("pivot", "part", "id", "vec").join(asked.select("pivot").distinct(), "pivot", "left_semi")
 
     def reach(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if m.empty or q.empty:
