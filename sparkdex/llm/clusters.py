@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,6 +86,7 @@ def _local_minima(spark: SparkSession, x: np.ndarray, radius: float, tile: int =
                 yield pd.DataFrame({"row": lo + np.nonzero(~_has_earlier(bc.value, lo, hi, radius))[0]})
 
     rows = spark.range(0, n_tiles, 1, n_tiles).mapInPandas(run, "row bigint").toPandas()["row"].to_numpy()  # at most the round's candidates
+    bc.destroy()
     return np.sort(rows)
 
 
@@ -100,7 +102,7 @@ def _has_earlier(x: np.ndarray, lo: int, hi: int, radius: float) -> np.ndarray:
     return out
 
 
-def _absorb(live: DataFrame, pivot_id: np.ndarray, pivot_vec: np.ndarray, radius: float, dim: int) -> DataFrame:
+def _absorb(live: DataFrame, pivot_id: np.ndarray, pivot_vec: np.ndarray, radius: float, dim: int) -> tuple[DataFrame, Broadcast]:
     """Every row of live (id, ord, vec) with the closest of the pivots within the radius, ties to the smaller, or none; open is 1 where there is none."""
     by_id = np.argsort(pivot_id, kind="stable")
     bc = live.sparkSession.sparkContext.broadcast((pivot_id[by_id], pivot_vec[by_id].astype(np.float32)))
@@ -123,7 +125,7 @@ def _absorb(live: DataFrame, pivot_id: np.ndarray, pivot_vec: np.ndarray, radius
                 [b.column("id"), b.column("ord"), b.column("vec"), pa.array(pivot, mask=none), pa.array(dist, mask=none), pa.array(open_)], names=["id", "ord", "vec", "pivot", "dist", "open"]
             )
 
-    return live.select("id", "ord", "vec").mapInArrow(run, "id bigint, ord bigint, vec binary, pivot bigint, dist double, open int")
+    return live.select("id", "ord", "vec").mapInArrow(run, "id bigint, ord bigint, vec binary, pivot bigint, dist double, open int"), bc
 
 
 def pivot_rounds(base: DataFrame, radius: float, dim: int, batch: int = 8192) -> tuple[DataFrame, int]:
@@ -134,11 +136,10 @@ def pivot_rounds(base: DataFrame, radius: float, dim: int, batch: int = 8192) ->
     """
     spark = session_of(base)
     end, at = 1 << _ORDER_BITS, 0
-    live, n_live, rounds = base, base.count(), 0
+    live, n_live, waiting, rounds = base, base.count(), 0, 0
     out: DataFrame | None = None
     schema = "id bigint, vec binary, pivot bigint, dist double"
     while n_live:
-        waiting = live.where(F.col("ord") < at).count() if at else 0
         room = max(batch - waiting, batch // 4)
         at = min(end, at + int((end - at) * room / max(1, n_live - waiting)) + 1)
         got = live.where(F.col("ord") < at).select("id", "ord", "vec").toPandas().sort_values(["ord", "id"])  # about `batch` rows: the order is a hash
@@ -147,13 +148,15 @@ def pivot_rounds(base: DataFrame, radius: float, dim: int, batch: int = 8192) ->
         x = unpack_floats(got["vec"], dim)
         keep = _local_minima(spark, x, radius)
         path = f"{shared_dir(spark)}/sparkdex/absorbed-{uuid.uuid4().hex}"
-        _absorb(live, got["id"].to_numpy()[keep], x[keep], radius, dim).write.partitionBy("open").parquet(path)
+        absorbed, bc = _absorb(live, got["id"].to_numpy()[keep], x[keep], radius, dim)
+        absorbed.write.partitionBy("open").parquet(path)
+        bc.destroy()
         delete_on_exit(spark, path)
         table = spark.read.schema("id bigint, ord bigint, vec binary, pivot bigint, dist double, open int").parquet(path)
         done = table.where("open = 0").select("id", "vec", "pivot", "dist")
         out = done if out is None else out.unionByName(done)
         live = table.where("open = 1").select("id", "ord", "vec")
-        n_live = live.count()
+        n_live, waiting = live.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("ord") < at).cast("bigint")), F.lit(0))).first()
         rounds += 1
     return out if out is not None else spark.createDataFrame([], schema), rounds
 
@@ -363,12 +366,12 @@ def member_links(placed: DataFrame, pivots: DataFrame, radius: float, dim: int,
     return links.union(spread.groupBy("a", "b", "i", "j").applyInPandas(touch, schema)).distinct()
 
 
-def pivot_clusters(vectors: DataFrame, radius: float, dim: int, batch: int = 8192, merge: bool = True) -> tuple[DataFrame, DataFrame]:
+def pivot_clusters(vectors: DataFrame, radius: float, dim: int, batch: int = 8192, merge: bool = True, settle: bool = True) -> tuple[DataFrame, DataFrame]:
     """Clusters of (id, vec array) at Euclidean distance `radius`.
 
     Returns (id, cluster, group, dist) for every row, and the base table (id, ord, vec
     binary) of distinct vectors the rounds worked on. cluster is the closest pivot (ties to
-    the smaller), group the smallest id of the records connected through pairs within the
+    the smaller), or without `settle` the one that absorbed the record first; group the smallest id of the records connected through pairs within the
     radius; without `merge`, group is the cluster. Rows that are exact copies share both.
     Vectors must be usable (see usable_vector); null ids are dropped; an empty table gives no rows.
     """
@@ -391,7 +394,9 @@ def pivot_clusters(vectors: DataFrame, radius: float, dim: int, batch: int = 819
     own = F.max(F.when(F.col("id") == F.col("pivot"), F.col("vec"))).alias("vec")
     pivots, _ = materialize(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.max("dist").alias("extent"), F.min("id").alias("least"), own), "pivots")
     placed, _ = materialize(place_members(members, pivots), "placed")
-    closest, _ = materialize(reassign(placed, pivots, radius, dim), "closest")
+    closest = placed.select("id", "pivot", "dist")
+    if settle:
+        closest, _ = materialize(reassign(placed, pivots, radius, dim), "closest")
     if merge:
         root = connected(member_links(placed, pivots, radius, dim))
         named = pivots.join(root.select(F.col("node").alias("pivot"), "root"), "pivot", "left").select("pivot", F.coalesce("root", "pivot").alias("root"), "least", "size")

@@ -178,7 +178,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of groups of five or more descriptors connected within the modality's distance."""
     parts = []
     for modality, (dim, radius) in DESCRIPTORS.items():
-        assigned, _ = pivot_clusters(descriptor_rows(spark, sf_dir, modality), radius, dim)
+        assigned, _ = pivot_clusters(descriptor_rows(spark, sf_dir, modality), radius, dim, settle=False)  # groups do not depend on which pivot a member is with
         big = assigned.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
         parts.append(assigned.join(big, "group").select(F.col("id").alias("desc_id"), F.col("group").alias("cluster_id")))
     return parts[0].unionByName(parts[1])

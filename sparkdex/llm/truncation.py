@@ -2,9 +2,10 @@
 
 For the final context of every value, read backward from its end at several lengths,
 the model has counted over the whole collection how often texts of that column and
-language end there and how often they go on. The log-odds of ending against going on,
-at the longest context seen often enough, tell whole values from cut ones; the threshold
-is set per language and column where the two heaps of log-odds part.
+language end there and how often they go on. The log-odds of ending against going on, at the
+longest context seen often enough, less what an end inside a word or before an open mark takes
+off, and shifted by how often values that fill their limit are cut, tell whole values from cut
+ones; the threshold is set per language and column where the two heaps of log-odds part.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdex.common import materialize
+from sparkdex.common import materialize, session_of
 
 #: Context lengths in characters; the last stands for the whole text up to its start.
 LENGTHS = (3, 5, 7, 9, 12, 15, 18, 20, 22, 24, 27, 30, 0)
 #: Marks that end a sentence, also when quotes or brackets close after them.
 FINAL = ".!?…»”\")"
+#: Marks after which a sentence goes on.
+OPEN = ",;:(«“¿¡"
 _WORD = regex.compile(r"\p{L}+|\p{N}+")
 #: Frequent function words that tell the languages of the tables apart.
 LANGUAGE_WORDS = {
@@ -35,15 +38,33 @@ LANGUAGE_WORDS = {
 NAME, START = "\ue000", "\ue001"
 
 
-def language(text: str) -> str:
-    """The language whose function words are most frequent; "es" where none are."""
+def seed_language(text: str) -> str | None:
+    """The language whose function words are most frequent; none where none are or two are equal."""
     seen = Counter(_WORD.findall(text.lower()))
-    best, most = "es", 0
-    for lang, ws in LANGUAGE_WORDS.items():
-        n = sum(seen[w] for w in ws)
-        if n > most:
-            best, most = lang, n
-    return best
+    n = sorted(((sum(seen[w] for w in ws), lang) for lang, ws in LANGUAGE_WORDS.items()), reverse=True)
+    return n[0][1] if n[0][0] > n[1][0] else None
+
+
+def trigrams(text: str) -> list[str]:
+    """The three-letter pieces of the words, each between blanks."""
+    low = " " + " ".join(m.group() for m in _WORD.finditer(text.lower()) if not m.group()[0].isnumeric()) + " "
+    return [low[i : i + 3] for i in range(len(low) - 2)]
+
+
+class LanguageModel:
+    """Letter trigrams of each language, counted over the values whose function words tell it."""
+
+    def __init__(self, counts: dict[str, dict[str, int]], values: dict[str, int]):
+        size = len({g for c in counts.values() for g in c}) + 1
+        self.prior = {k: np.log(max(1, values.get(k, 0))) for k in counts}
+        self.unseen = {k: -np.log(sum(c.values()) + size) for k, c in counts.items()}
+        self.score = {k: {g: np.log(n + 1) + self.unseen[k] for g, n in c.items()} for k, c in counts.items()}
+
+    def of(self, text: str) -> str:
+        """The likeliest language; the first by name where nothing is known."""
+        own = trigrams(text)
+        best = [(self.prior[k] + sum(self.score[k].get(g, self.unseen[k]) for g in own), k) for k in sorted(self.score)]
+        return max(best, key=lambda x: x[0])[1] if best else "und"
 
 
 def masked(text: str, common: set[str], starts: set[str]) -> tuple[str, bool]:
@@ -147,14 +168,14 @@ def _otsu(centres: np.ndarray, n: np.ndarray, default: float) -> float:
 
 
 def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, bloom_words: int = 1 << 20) -> DataFrame:
-    """(row_id, lang, columna, pool, log_odds, context, final, broken, fragment) of (row_id, columna, pool, valor).
+    """(row_id, lang, columna, pool, log_odds, context, final, open, broken, fragment) of (row_id, columna, pool, valor).
 
-    pool names the columns counted together. Values that are null, empty or blank must be gone. A word is common when it is in more
-    than max(4, rows / common_share) values before their end, so there are at most common_share times the
+    pool names the columns counted together. Values that are null, empty or blank must be gone. A word is common when it is in more than one of
+    `common_share` values, and in more than one, before their end, so there are at most common_share times the
     mean number of words of a value; they alone are broadcast. Contexts that end no value
-    are dropped while counting by a Bloom filter of fixed size.
+    are dropped while counting by a Bloom filter of fixed size; what it lets pass is joined away.
     """
-    spark = rows.sparkSession
+    spark = session_of(rows)
     base = rows.select("row_id", "columna", "pool", F.rtrim("valor").alias("t"))
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,26 +186,45 @@ def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, blo
                 c.update({m.group() for m in _WORD.finditer(low) if m.end() < len(low)})  # what ends a value may be cut
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
+    def seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c: Counter = Counter()
+            for t in b.column("t").to_pylist():
+                lang = seed_language(t)
+                if lang:
+                    c[lang, ""] += 1
+                    c.update((lang, g) for g in trigrams(t))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in c], pa.string()), pa.array([g for _, g in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "gram", "n"])
+
     total = base.count()
-    limit = max(4, total // common_share)
-    common = {r["word"] for r in base.select("t").mapInArrow(word_rows, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > limit).collect()}
+    common = {
+        r["word"] for r in base.select("t").mapInArrow(word_rows, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") * common_share > total) & (F.col("n") > 1)).collect()
+    }
     starts = {w[:i] for w in common for i in range(1, len(w))}
-    bc = spark.sparkContext.broadcast((common, starts))
+    # trigrams in more than one of a million values of any language; what is rarer tells languages no more than the unseen
+    grams = base.select("t").mapInArrow(seed_rows, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") * 1_000_000 > total)
+    counts, values = {k: {} for k in LANGUAGE_WORDS}, {}
+    for r in grams.collect():
+        if r["gram"]:
+            counts[r["lang"]][r["gram"]] = r["n"]
+        else:
+            values[r["lang"]] = r["n"]
+    bc = spark.sparkContext.broadcast((common, starts, LanguageModel(counts, values)))
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, starts = bc.value
+        common, starts, model = bc.value
         for b in batches:
             texts = b.column("t").to_pylist()
-            langs = [language(t) for t in texts]
+            langs = [model.of(t) for t in texts]
             both = [masked(t, common, starts) for t in texts]
             m = [x for x, _ in both]
             yield pa.RecordBatch.from_arrays(
-                [b.column("row_id"), b.column("columna"), b.column("pool"), pa.array(langs, pa.string()), pa.array(m, pa.string()), pa.array([t[-1] in FINAL for t in texts], pa.bool_()),
+                [b.column("row_id"), b.column("columna"), b.column("pool"), pa.array(langs, pa.string()), pa.array(m, pa.string()), pa.array([t[-1] in FINAL for t in texts], pa.bool_()), pa.array([t[-1] in OPEN for t in texts], pa.bool_()),
                  pa.array([t[-1] == "\ufffd" for t in texts], pa.bool_()), pa.array([f for _, f in both], pa.bool_())],
-                names=["row_id", "columna", "pool", "lang", "m", "final", "broken", "fragment"],
+                names=["row_id", "columna", "pool", "lang", "m", "final", "open", "broken", "fragment"],
             )
 
-    prepared, _ = materialize(base.mapInArrow(mask, "row_id bigint, columna string, pool string, lang string, m string, final boolean, broken boolean, fragment boolean"), "ends")
+    prepared, _ = materialize(base.mapInArrow(mask, "row_id bigint, columna string, pool string, lang string, m string, final boolean, open boolean, broken boolean, fragment boolean"), "ends")
 
     def end_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,7 +232,8 @@ def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, blo
                 continue
             keys, of = context_keys(b.column("m").to_pylist(), _salts(b.column("pool").to_pylist(), b.column("lang").to_pylist()), True)
             r, j = np.nonzero(keys)
-            yield pa.RecordBatch.from_arrays([b.column("row_id").take(pa.array(of[r])), pa.array(j.astype(np.int32)), pa.array(keys[r, j].view(np.int64))], names=["row_id", "j", "key"])
+            at = pa.array(of[r])
+            yield pa.RecordBatch.from_arrays([b.column("row_id").take(at), pa.array(j.astype(np.int32)), pa.array(keys[r, j].view(np.int64))], names=["row_id", "j", "key"])
 
     finals, _ = materialize(prepared.select("row_id", "pool", "lang", "m").mapInArrow(end_keys, "row_id bigint, j int, key bigint"), "keys")
     slot = F.pmod(F.shiftright("key", 6), F.lit(bloom_words))
@@ -217,9 +258,10 @@ def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, blo
     seen = prepared.select("pool", "lang", "m").mapInArrow(all_keys, "key bigint, seen bigint").groupBy("key").agg(F.sum("seen").alias("seen"))
     ends = finals.groupBy("key").agg(F.count(F.lit(1)).alias("ends"))
     stats, _ = materialize(ends.join(seen, "key"), "stats")
-    heavy = F.broadcast(stats.where(F.col("ends") > max(100, total // 1000)))  # fewer than 1000 per context length
+    limit = max(100, total // 1000)
+    heavy = F.broadcast(stats.where(F.col("ends") > limit))  # fewer than 1000 per context length
     marked = finals.join(heavy, "key", "left")
-    light = marked.where(F.col("ends").isNull()).select("row_id", "j", "key").join(stats.where(F.col("ends") <= max(100, total // 1000)), "key")
+    light = marked.where(F.col("ends").isNull()).select("row_id", "j", "key").join(stats.where(F.col("ends") <= limit), "key")
     known = marked.where(F.col("ends").isNotNull()).select("row_id", "j", "ends", "seen").unionByName(light.select("row_id", "j", "ends", "seen"))
     # the longest context seen often enough, one's own end not counted
     often = F.col("seen") > least
@@ -229,47 +271,70 @@ def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, blo
     return prepared.drop("m").join(best.select("row_id", odds.alias("log_odds"), F.abs(F.col("c.j")).alias("context")), "row_id", "left")
 
 
-def find_truncated(rows: DataFrame, default_threshold: float = -1.5, bounds: tuple[float, float] = (-3.0, -0.3)) -> DataFrame:
-    """(row_id, source, lang, columna, log_odds, room, cut) of every usable value.
+#: Log-odds taken off the end of a value that breaks off in a piece of a common word, or after a mark that opens something.
+BROKEN_OFF = 4.0
+#: Bytes a value may fall short of its limit and still have been cut by it: a character's other bytes, or a blank.
+NEAR_LIMIT = 3
+#: The most that a share of cut values may shift log-odds.
+PRIOR_SHIFT = 0.5
+
+
+def find_truncated(rows: DataFrame, default_threshold: float = -1.5, bounds: tuple[float, float] = (-1.2, -0.3)) -> DataFrame:
+    """(row_id, source, lang, columna, log_odds, context, threshold, room, cut) of every usable value.
 
     `rows` has row_id, source, tabla, columna, max_bytes, valor. Null, empty and blank
     values are no values: they give no row. A column's limit missing in a row is taken
-    from its other rows; a column without any has none. room is the bytes left to the limit.
-
-    A value is cut where it ends in a broken character, in a piece of a common word that is
-    no word itself (unless many values end so in that context), or where its log-odds are below
-    the threshold of its language and column; columns whose values mostly end in a final
-    mark share their counts and threshold. In columns whose values mostly end in a
-    final mark, one that does is whole. A value that ends in a word the model cannot know
-    (a rare name) is told by the context before that word: where texts may end in a name,
-    a cut inside the name itself is not seen.
+    from its other rows; a column without any has none. room is the bytes left to the limit,
+    blanks at the end not counted.
+
+    A value is cut where it ends in a broken character, or where its log-odds of ending are
+    below the threshold of its language and column. A piece of a common word at the end that is no
+    word itself, and a comma or another mark that opens something, take BROKEN_OFF off them. The
+    verdicts so far give the share of cut values of each column, for values that fill their limit
+    and for others; log-odds are shifted by how these shares differ from the column's. Columns whose values mostly end in a final mark
+    share their counts; in them a value that ends in one ends with its sentence and so, cut or
+    not, is no case. A value that ends in a word the model cannot know (a rare name) is told
+    by the context before that word: where texts may end in a name, a cut inside the name
+    itself is not seen.
     """
-    spark = rows.sparkSession
+    spark = session_of(rows)
     limits = rows.groupBy("tabla", "columna").agg(F.max("max_bytes").alias("limit"))
     usable = rows.where(F.col("valor").isNotNull() & (F.length(F.trim("valor")) > 0))
     key = F.concat_ws(".", F.coalesce("tabla", F.lit("")), F.coalesce("columna", F.lit("")))
     ending = F.substring(F.rtrim("valor"), -1, 1).isin(list(FINAL)).cast("int")
     columns = usable.groupBy(key.alias("columna")).agg((F.avg(ending) > 0.5).alias("marked"))
-    columns, _ = materialize(columns.withColumn("pool", F.when(F.col("marked"), "*").otherwise(F.col("columna"))), "columns")
-    named = usable.select("row_id", key.alias("columna"), "valor").join(F.broadcast(columns), "columna")  # one row per column of the schema
+    limits = limits.groupBy(key.alias("columna")).agg(F.max("limit").alias("limit"))
+    columns = columns.join(limits, "columna", "left").withColumn("pool", F.when(F.col("marked"), "*").otherwise(F.col("columna")))
+    columns, _ = materialize(columns, "columns")
+    named = usable.select("row_id", "source", key.alias("columna"), "valor").join(F.broadcast(columns), "columna")  # one row per column of the schema
+    room = F.col("limit") - F.octet_length(F.rtrim("valor"))
+    named = named.select("row_id", "source", "columna", "pool", "valor", room.alias("room"))
     odds, _ = materialize(end_log_odds(named), "odds")
-    odds = odds.join(F.broadcast(columns.drop("pool")), "columna")
+    odds = odds.join(F.broadcast(columns.select("columna", "marked")), "columna").join(named.select("row_id", "source", "room"), "row_id")
     # one row per language, column and tenth of log-odds; values that end in a final mark need no model in marked columns
-    heaps = odds.where(~(F.col("marked") & F.col("final")) & F.col("log_odds").isNotNull()).groupBy("lang", "pool", F.floor(F.col("log_odds") * 10).alias("h")).agg(
-        F.count(F.lit(1)).alias("n")
-    ).toPandas()
+    asked = ~(F.col("marked") & F.col("final"))
+    heaps = odds.where(asked & F.col("log_odds").isNotNull()).groupBy("lang", "columna", F.floor(F.col("log_odds") * 10).alias("h")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     table = []
-    for (lang, pool), g in heaps.groupby(["lang", "pool"]):
+    for (lang, column), g in heaps.groupby(["lang", "columna"]):
         grid = np.arange(-120, 101)
         n = np.zeros(len(grid))
         np.add.at(n, np.clip(g["h"].to_numpy(int), -120, 100) + 120, g["n"].to_numpy(float))
-        table.append((lang, pool, float(np.clip(_otsu((grid + 0.5) / 10, n, default_threshold), *bounds))))
-    thresholds = F.broadcast(spark.createDataFrame(table, "lang string, pool string, threshold double"))  # one row per language and pool
-    sizes = usable.join(F.broadcast(limits), ["tabla", "columna"], "left").select("row_id", "source", (F.col("limit") - F.octet_length("valor")).alias("room"))
-    out = odds.join(thresholds, ["lang", "pool"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(default_threshold))).join(sizes, "row_id")
-    low = F.coalesce(F.col("log_odds") < F.col("threshold"), F.lit(False))
-    inside = F.col("fragment") & F.coalesce(F.col("log_odds") < 2.0, F.lit(True))
-    cut = F.col("broken") | inside | (low & ~(F.col("marked") & F.col("final")))
+        table.append((lang, column, float(np.clip(_otsu((grid + 0.5) / 10, n, default_threshold), *bounds))))
+    thresholds = F.broadcast(spark.createDataFrame(table, "lang string, columna string, threshold double"))  # one row per language and column
+    off = F.when(F.col("fragment") | F.col("open"), BROKEN_OFF).otherwise(0.0)
+    judged = odds.join(thresholds, ["lang", "columna"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(default_threshold)))
+    judged = judged.withColumns({"log_odds": F.coalesce("log_odds", F.lit(0.0)) - off, "at_limit": F.coalesce(F.col("room") <= NEAR_LIMIT, F.lit(False))})
+    low = (F.col("log_odds") < F.col("threshold")) & asked
+    shares = judged.where(asked).groupBy("columna", "at_limit").agg(F.sum(low.cast("int")).alias("c"), F.count(F.lit(1)).alias("n")).toPandas()  # two rows per column
+    shift = []
+    for column, g in shares.groupby("columna"):
+        whole = (g["c"].sum() + 1) / (g["n"].sum() + 2)
+        for r in g.itertuples():
+            own = (r.c + 1) / (r.n + 2)
+            shift.append((column, bool(r.at_limit), float(np.clip(np.log(whole / (1 - whole)) - np.log(own / (1 - own)), -PRIOR_SHIFT, PRIOR_SHIFT))))
+    shift = F.broadcast(spark.createDataFrame(shift, "columna string, at_limit boolean, shift double"))
+    out = judged.join(shift, ["columna", "at_limit"], "left").withColumn("log_odds", F.col("log_odds") + F.coalesce("shift", F.lit(0.0)))
+    cut = F.col("broken") | ((F.col("log_odds") < F.col("threshold")) & asked)
     return out.select("row_id", "source", "lang", "columna", "log_odds", "context", "threshold", "room", cut.alias("cut"))
 
 
