@@ -6,6 +6,10 @@ language end there and how often they go on. The log-odds of ending against goin
 longest context seen often enough, less what an end inside a word or before an open mark takes
 off, and shifted by how often values that fill their limit are cut, tell whole values from cut
 ones; the threshold is set per language and column where the two heaps of log-odds part.
+
+A limit cuts equal texts at an equal place, so copies of a cut value agree that it ends there, and
+the more rows there are, the more of them. Only a context met at many places of texts tells whether
+texts go on after it: the longest such context bounds the log-odds.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdex.common import materialize, session_of
@@ -153,7 +157,7 @@ def _salts(cols: list[str], langs: list[str]) -> np.ndarray:
 
 
 def _otsu(centres: np.ndarray, n: np.ndarray, default: float) -> float:
-    """The value that best parts a histogram into two heaps, or the default for thin ones."""
+    """The value that best parts a histogram into two heaps, or the default for thin ones and single heaps."""
     total = n.sum()
     if total < 50:
         return default
@@ -163,14 +167,27 @@ def _otsu(centres: np.ndarray, n: np.ndarray, default: float) -> float:
         between = (m[-1] * w / total - m) ** 2 / (w * (total - w))
     between[~np.isfinite(between)] = -1
     k = int(np.argmax(between))
+    if between[k] < 0:  # all values alike
+        return default
     same = np.nonzero(between >= between[k] * (1 - 1e-9))[0]
     return float((centres[same[0]] + centres[min(same[-1] + 1, len(centres) - 1)]) / 2)
 
 
-def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, bloom_words: int = 1 << 20) -> DataFrame:
-    """(row_id, lang, columna, pool, log_odds, context, final, open, broken, fragment) of (row_id, columna, pool, valor).
+def _count_keys(keys: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, how often it is there, and its places modulo 64 as bits."""
+    order = np.argsort(keys)
+    keys, bits = keys[order], np.left_shift(np.int64(1), np.mod(place[order], 64).astype(np.int64))
+    first = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
+    places = np.bitwise_or.reduceat(bits, first) if len(keys) else bits
+    return keys[first], np.diff(np.append(first, len(keys))), places
+
+
+def end_log_odds(rows: DataFrame, least: int = 4, least_places: int = 16, common_share: int = 2_000, bloom_words: int = 1 << 20) -> DataFrame:
+    """(row_id, lang, columna, pool, log_odds, wide_odds, context, final, open, broken, fragment) of (row_id, columna, pool, valor).
 
-    pool names the columns counted together. Values that are null, empty or blank must be gone. A word is common when it is in more than one of
+    log_odds are those at the longest context seen more than `least` times, wide_odds those at the longest one
+    met at `least_places` places of texts or more, or at the shortest. Ends in a fragment or an open mark
+    count in wide_odds by places, not by rows, so that copies add nothing. pool names the columns counted together. Values that are null, empty or blank must be gone. A word is common when it is in more than one of
     `common_share` values, and in more than one, before their end, so there are at most common_share times the
     mean number of words of a value; they alone are broadcast. Contexts that end no value
     are dropped while counting by a Bloom filter of fixed size; what it lets pass is joined away.
@@ -247,32 +264,48 @@ def end_log_odds(rows: DataFrame, least: int = 4, common_share: int = 2_000, blo
         for b in batches:
             for s in range(0, len(b), 2000):
                 part = b.slice(s, 2000)
-                met = []
+                n = np.fromiter((len(t) for t in part.column("m").to_pylist()), np.int64, len(part))
+                position = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                met, place = [], []
                 for keys, _ in keys_by_length(part.column("m").to_pylist(), _salts(part.column("pool").to_pylist(), part.column("lang").to_pylist()), False):
                     flat = keys.view(np.int64)
-                    flat = flat[flat != 0]
-                    met.append(flat[(bloom[np.mod(flat >> 6, bloom_words)] >> np.mod(flat, 64)) & 1 == 1])
-                k, n = np.unique(np.concatenate(met), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "seen"])
-
-    seen = prepared.select("pool", "lang", "m").mapInArrow(all_keys, "key bigint, seen bigint").groupBy("key").agg(F.sum("seen").alias("seen"))
+                    hit = np.nonzero((flat != 0) & ((bloom[np.mod(flat >> 6, bloom_words)] >> np.mod(flat, 64)) & 1 == 1))[0]
+                    met.append(flat[hit])
+                    place.append(position[hit])
+                k, n, places = _count_keys(np.concatenate(met), np.concatenate(place))
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64)), pa.array(places)], names=["key", "seen", "places"])
+
+    seen = prepared.select("pool", "lang", "m").mapInArrow(all_keys, "key bigint, seen bigint, places bigint").groupBy("key")
+    seen = seen.agg(F.sum("seen").alias("seen"), F.bit_count(F.bit_or("places")).alias("places"))
     ends = finals.groupBy("key").agg(F.count(F.lit(1)).alias("ends"))
     stats, _ = materialize(ends.join(seen, "key"), "stats")
     limit = max(100, total // 1000)
     heavy = F.broadcast(stats.where(F.col("ends") > limit))  # fewer than 1000 per context length
     marked = finals.join(heavy, "key", "left")
     light = marked.where(F.col("ends").isNull()).select("row_id", "j", "key").join(stats.where(F.col("ends") <= limit), "key")
-    known = marked.where(F.col("ends").isNotNull()).select("row_id", "j", "ends", "seen").unionByName(light.select("row_id", "j", "ends", "seen"))
+    columns = ["row_id", "j", "ends", "seen", "places"]
+    known = marked.where(F.col("ends").isNotNull()).select(columns).unionByName(light.select(columns))
     # the longest context seen often enough, one's own end not counted
     often = F.col("seen") > least
     enough = F.struct(often.alias("often"), F.when(often, F.col("j")).otherwise(-F.col("j")).alias("j"), "ends", "seen")
-    best = known.select("row_id", enough.alias("c")).groupBy("row_id").agg(F.max("c").alias("c"))
-    odds = F.log((F.col("c.ends") - 0.9) / (F.col("c.seen") - F.col("c.ends") + 0.5))
-    return prepared.drop("m").join(best.select("row_id", odds.alias("log_odds"), F.abs(F.col("c.j")).alias("context")), "row_id", "left")
+    many = F.col("places") >= least_places
+    wide = F.struct(many.alias("many"), F.when(many, F.col("j")).otherwise(-F.col("j")).alias("j"), "ends", "seen", "places")
+    best = known.select("row_id", enough.alias("c"), wide.alias("w")).groupBy("row_id").agg(F.max("c").alias("c"), F.max("w").alias("w"))
+
+    def odds(c: str) -> Column:
+        return F.log((F.col(f"{c}.ends") - 0.9) / (F.col(f"{c}.seen") - F.col(f"{c}.ends") + 0.5))
+
+    each = F.col("w.places") / F.col("w.seen")  # of one row, where each place counts once; no more places than rows
+    by_place = F.log(F.greatest(F.col("w.ends") * each - 0.9, F.lit(0.1)) / ((F.col("w.seen") - F.col("w.ends")) * each + 0.5))
+    wide_odds = F.when(F.col("fragment") | F.col("open"), by_place).otherwise(odds("w"))
+    out = prepared.drop("m").join(best, "row_id", "left").withColumns({"log_odds": odds("c"), "wide_odds": wide_odds, "context": F.abs(F.col("c.j"))})
+    return out.drop("c", "w")
 
 
 #: Log-odds taken off the end of a value that breaks off in a piece of a common word, or after a mark that opens something.
 BROKEN_OFF = 4.0
+#: Log-odds by which texts that end alike may go beyond what a context met at many places says, after a whole word where no final mark is usual.
+SAME_PLACE = 4.0
 #: Bytes a value may fall short of its limit and still have been cut by it: a character's other bytes, or a blank.
 NEAR_LIMIT = 3
 #: The most that a share of cut values may shift log-odds.
@@ -288,7 +321,8 @@ def find_truncated(rows: DataFrame, default_threshold: float = -1.5, bounds: tup
     blanks at the end not counted.
 
     A value is cut where it ends in a broken character, or where its log-odds of ending are
-    below the threshold of its language and column. A piece of a common word at the end that is no
+    below the threshold of its language and column. They are no more than those of the longest context met
+    at many places of texts, plus SAME_PLACE for whole words in columns without final marks. A piece of a common word at the end that is no
     word itself, and a comma or another mark that opens something, take BROKEN_OFF off them. The
     verdicts so far give the share of cut values of each column, for values that fill their limit
     and for others; log-odds are shifted by how these shares differ from the column's. Columns whose values mostly end in a final mark
@@ -311,6 +345,8 @@ def find_truncated(rows: DataFrame, default_threshold: float = -1.5, bounds: tup
     named = named.select("row_id", "source", "columna", "pool", "valor", room.alias("room"))
     odds, _ = materialize(end_log_odds(named), "odds")
     odds = odds.join(F.broadcast(columns.select("columna", "marked")), "columna").join(named.select("row_id", "source", "room"), "row_id")
+    beyond = F.when(F.col("marked") | F.col("fragment") | F.col("open"), 0.0).otherwise(SAME_PLACE)
+    odds = odds.withColumn("log_odds", F.least("log_odds", F.col("wide_odds") + beyond))
     # one row per language, column and tenth of log-odds; values that end in a final mark need no model in marked columns
     asked = ~(F.col("marked") & F.col("final"))
     heaps = odds.where(asked & F.col("log_odds").isNotNull()).groupBy("lang", "columna", F.floor(F.col("log_odds") * 10).alias("h")).agg(F.count(F.lit(1)).alias("n")).toPandas()

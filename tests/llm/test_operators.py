@@ -268,6 +268,44 @@ def test_cut_values_are_told_from_whole_ones(spark):
     assert truncation.find_truncated(d.limit(0)).count() == 0
 
 
+def test_one_heap_has_the_default_threshold():
+    assert truncation._otsu(np.arange(3.0), np.array([0.0, 60.0, 0.0]), -1.5) == -1.5
+
+
+def test_count_keys_gathers_places():
+    k, n, places = truncation._count_keys(np.array([5, 3, 5, 5]), np.array([1, 0, 65, 63]))
+    assert k.tolist() == [3, 5] and n.tolist() == [1, 3] and places.tolist() == [1, np.int64(2) | np.int64(-(2**63))]
+    assert [len(x) for x in truncation._count_keys(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
+
+
+def test_copies_of_cut_values_stay_cut(spark):
+    rng = random.Random(66)
+    subjects, verbs, objects = ["El gato gris", "La vecina nueva", "Un perro grande", "La biblioteca"], ["mira", "recuerda", "busca", "describe"], ["la ventana abierta", "el camino viejo", "una carta breve", "los libros usados"]
+    heads = [f"El {noun} {kind}" for noun in ("taller", "festival", "torneo", "concierto", "recorrido", "encuentro") for kind in ("nuevo", "abierto", "juvenil", "nocturno", "de barrio", "de primavera", "del centro viejo")]
+    tails = ["durante el invierno", "hasta la medianoche", "sin cobrar entrada", "bajo una llovizna fina", "para lectores atentos"]
+    rows, cut, between = [], set(), set()  # cuts inside words, and between them, where a title may end
+    for i in range(2000):
+        if i % 2:
+            s, limit, column = f"{rng.choice(heads)} {rng.choice(tails)}", 40, "titulo"
+            if len(s) > limit:
+                (cut if s[limit - 1 : limit + 1].isalpha() else between).add(i)
+                s = s[:limit]
+        else:
+            s, limit, column = " ".join(f"{rng.choice(subjects)} {rng.choice(verbs)} {rng.choice(objects)} {rng.choice(tails)}." for _ in range(rng.randrange(1, 4))), 300, "nota"
+            if rng.random() < 0.15:
+                n = rng.randrange(8, len(s) - 2)
+                while s[n - 1] == "." or s[n] == "." or s[n] == " " and s[n - 1] == ".":
+                    n -= 1
+                s = s[:n]
+                cut.add(i)
+        rows.append((i, "a", "t", column, limit, s))
+    one = spark.createDataFrame(rows, "row_id bigint, source string, tabla string, columna string, max_bytes int, valor string")
+    copies = one.crossJoin(spark.range(20).withColumnRenamed("id", "copy")).withColumn("row_id", F.col("row_id") + F.col("copy") * 10_000).drop("copy")
+    for d in (one, copies):
+        got = {r.row_id % 10_000 for r in truncation.find_truncated(d).where("cut").collect()}
+        assert len(got & cut) >= 0.95 * len(cut) and len(got - cut - between) <= 0.02 * len(rows)
+
+
 # --- 8 ----------------------------------------------------------------------------------
 
 
